@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Words of the contracts: everything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A block of text that numpy arrays are made for at once.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 BLOCK_DOCS = 4095
 
 _SPACE = np.zeros(256, bool)
@@ -22,6 +22,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTE_CODE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
+_WORD_CODE = _BYTE_CODE[_LOWER]
 _POWERS: list[np.ndarray] = []
 
 
@@ -68,6 +69,34 @@ def blocks(offs: np.ndarray, size: int = BLOCK_BYTES, docs: int = BLOCK_DOCS):
         i = j
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order."""
+    x = np.sort(x)
+    return x[np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]])]
+
+
+def distinct_counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and how often each occurs."""
+    x = np.sort(x)
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]]))
+    return x[first], np.diff(np.append(first, len(x)))
+
+
+def scatter(bucket: np.ndarray, *columns: np.ndarray):
+    """(bucket, bytes of each column) for each bucket present: few rows for Spark to shuffle, whatever the number of values."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    columns = [np.ascontiguousarray(c[order]) for c in columns]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(bucket)), bool), bucket[1:] != bucket[:-1]]))
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True):
+        yield (int(bucket[a]), *(c[a:b].tobytes() for c in columns))
+
+
+def gather(column: pa.Array | pa.ChunkedArray, dtype) -> np.ndarray:
+    """The values of all rows of a column that scatter() made."""
+    return np.frombuffer(text_arrays(column)[0].tobytes(), dtype)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A finalizer: every bit of the result depends on every bit of x."""
     x = x ^ (x >> np.uint64(31))
@@ -103,8 +132,10 @@ def word_bounds(data: np.ndarray, offs: np.ndarray, separator: np.ndarray = _SPA
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the words, A-Z lower-cased, from prefix sums of a polynomial in an odd base."""
     power, inverse = _powers(len(data) + 1)
+    terms = np.take(_WORD_CODE, data)
+    terms *= power[: len(data)]
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_CODE[_LOWER[data]] * power[: len(data)], out=sums[1:])
+    np.cumsum(terms, out=sums[1:])
     return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
@@ -133,7 +164,7 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int, separator: np.ndarr
             for w in words[first[d] : first[d + 1]]:
                 h = h * c + w
         keys.append((np.array([d], np.uint64) << np.uint64(52)) | (mix64(np.array([h], np.uint64)) >> np.uint64(12)))
-    keys = np.unique(np.concatenate(keys))
+    keys = distinct(np.concatenate(keys))
     edges = np.searchsorted(keys, np.arange(docs + 1, dtype=np.uint64) << np.uint64(52))
     return keys & np.uint64((1 << 52) - 1), edges
 

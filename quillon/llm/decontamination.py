@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import blocks, shingle_sets, text_arrays
+from ._common import blocks, distinct, shingle_sets, text_arrays
 
 BLOCK_ITEMS = 20_000
 SHINGLE, THRESHOLD = 5, Fraction(4, 5)
@@ -84,10 +84,10 @@ class ItemIndex:
             doc = np.searchsorted(edges, maybe, "right") - 1
             reps = right - left
             items = rows[np.repeat(left - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())]
-            pairs = np.unique(np.stack([np.repeat(doc, reps), items]), axis=1)
+            pairs = distinct(np.repeat(doc, reps) * len(self.items) + items)
             sizes = np.diff(edges)
             last, held = -1, set()
-            for d, k in pairs.T.tolist():
+            for d, k in np.stack(np.divmod(pairs, len(self.items)), axis=1).tolist():
                 if sizes[d] < self.need[k]:
                     continue
                 if d != last:
@@ -98,32 +98,42 @@ class ItemIndex:
         return out
 
 
+def item_blocks(items: DataFrame, item_id: str, item_text: str, n: int, threshold: Fraction) -> list:
+    """Broadcast indexes of at most BLOCK_ITEMS items each."""
+    parts = max(1, -(-items.count() // (BLOCK_ITEMS // 2)))
+    out = []
+    for part in range(parts):
+        block = items if parts == 1 else items.filter(F.pmod(F.xxhash64(item_id, item_text), F.lit(parts)) == part)
+        rows = block.select(F.col(item_id).cast("long"), F.col(item_text)).limit(BLOCK_ITEMS + 1).collect()
+        if len(rows) > BLOCK_ITEMS:
+            raise ValueError("repeated test items overfill a block: remove repeats first")
+        out.append(items.sparkSession.sparkContext.broadcast(ItemIndex([tuple(r) for r in rows], n, threshold)))
+    return out
+
+
+def batch_hits(index: ItemIndex, texts: pa.Array) -> list[tuple[int, int, int, int]]:
+    """(row, item, item's shingles, shared) of a batch."""
+    data, offs = text_arrays(texts)
+    found = []
+    for i, j in blocks(offs):
+        found += [(i + d, k, size, both) for d, k, size, both in index.search(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])]
+    return found
+
+
 def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = SHINGLE, threshold: Fraction = THRESHOLD, carry: list[str] | None = None) -> DataFrame:
     """One row for each (document, item) whose containment reaches the threshold: the carried columns (default: doc_id),
     item_id, n_shingles of the item, n_shared and containment."""
-    spark = docs.sparkSession
     carry = carry or [doc_id]
     source = docs.select(*carry, F.col(text).alias("_q_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
     schema = f"{kinds}, item_id bigint, n_shingles bigint, n_shared bigint, containment double"
-    count = items.count()
-    parts = max(1, -(-count // (BLOCK_ITEMS // 2)))
     results = []
-    for part in range(parts):
-        block = items if parts == 1 else items.filter(F.pmod(F.xxhash64(item_id, item_text), F.lit(parts)) == part)
-        rows = block.select(F.col(item_id).cast("long"), F.col(item_text)).limit(BLOCK_ITEMS + 1).collect()
-        if len(rows) > BLOCK_ITEMS:
-            raise ValueError("repeated test items overfill a block: remove repeats first")
-        shared = spark.sparkContext.broadcast(ItemIndex([tuple(r) for r in rows], n, threshold))
+    for shared in item_blocks(items, item_id, item_text, n, threshold):
 
         def run(batches, shared=shared):
             index = shared.value
             for batch in batches:
-                data, offs = text_arrays(batch.column("_q_text"))
-                found = []
-                for i, j in blocks(offs):
-                    found += [(i + d, k, size, both) for d, k, size, both in index.search(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])]
-                if found:
+                if found := batch_hits(index, batch.column("_q_text")):
                     d, k, size, both = zip(*found, strict=True)
                     take = pa.array(d, pa.int64())
                     ids = pa.array([index.items[x][0] for x in k], pa.int64())
@@ -139,6 +149,21 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     return out
 
 
+def without_items(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = SHINGLE, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """The documents that contain no item, with their columns: one pass for each block of items, no shuffle."""
+    place = docs.columns.index(text)
+    for shared in item_blocks(items, item_id, item_text, n, threshold):
+
+        def run(batches, shared=shared):
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                clean[[d for d, *_ in batch_hits(shared.value, batch.column(place))]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op1(spark, sf_dir: str) -> DataFrame:
     return contained_items(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 

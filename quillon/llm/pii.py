@@ -160,7 +160,8 @@ def examples(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
     not_phone = F.when(pick("q", 3) == 0, F.concat(F.lit("20"), number("d", 2), F.lit("-"), number("e", 3), F.lit("-"), number("f", 2))).otherwise(F.concat(number("a", 2), F.col("sep"), number("b", 3), F.col("sep"), number("c", 3)))
     body = F.concat(F.lit("4"), number("g", 14))
     check = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.when(luhn(F.concat(body, d.cast("string"))), d).otherwise(0)), F.lit(0), lambda a, v: a + v)
-    grouped = lambda x: F.concat_ws(sep("h", ".", "/", "_", "  "), *[F.substring(x, k, 4) for k in (1, 5, 9, 13)])
+    mark = sep("h", ".", "/", "_", "  ")
+    grouped = lambda x: F.concat(F.substring(x, 1, 4), mark, F.substring(x, 5, 4), mark, F.substring(x, 9, 4), mark, F.substring(x, 13, 4))
     card, not_card = grouped(F.concat(body, check.cast("string"))), F.when(pick("nc", 2) == 0, grouped(F.concat(body, F.pmod(check + 1 + pick("o", 9), F.lit(10)).cast("string")))).otherwise(F.concat(number("i", 5), F.lit("."), number("j", 8)))
     part = lambda salt: pick(salt, 256).cast("string")
     dot = sep("k", "[.]", " . ", "(.)")

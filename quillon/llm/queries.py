@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontamination, embedding_dedup, language_id, mixing, sharding, token_output
+from . import decontamination, embedding_dedup, language_id, mixing, ngram_join, pii, ppm_scoring, sharding, suffix_dedup, token_output
 
 QUERIES = {
     "op1_benchmark_decontamination": decontamination.op1,
+    "op2_ngram_jaccard_join": ngram_join.op2,
+    "op3_lm_scoring": ppm_scoring.op3,
     "op4_token_output": token_output.op4,
     "op5_embedding_near_dedup": embedding_dedup.op5,
+    "op6_pii": pii.op6,
     "op7_sharding": sharding.op7,
     "op8_language_id": language_id.op8,
     "op9_mixing": mixing.op9,
+    "op10_suffix_array_dedup": suffix_dedup.op10,
 }
 
 SQL = {
