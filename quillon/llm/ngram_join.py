@@ -181,7 +181,7 @@ def prefix_runs(docs: DataFrame, order: TokenOrder, buckets: int, n: int, percen
                 parts = np.where(freq > HOT, -(-freq // TILE), 0)
                 salt = np.where(parts > 0, 1 + fp[doc].view(np.uint64) % np.maximum(parts, 1).astype(np.uint64), 0)
                 pending.append((token[keep], fp[doc], size[doc].astype(np.int32), place[keep].astype(np.int32), ask[doc].astype(np.int8), salt.astype(np.int32)))
-            if sum(len(x[0]) for x in pending) > 2_000_000:
+            if sum(len(x[0]) for x in pending) > 1_000_000:
                 yield flush()
                 pending = []
         if pending and sum(len(x[0]) for x in pending):

@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import _powers, gather, mix64, scatter, text_arrays, total_bytes, written
+from ._common import _powers, gather, mix64, scatter, text_arrays, total_bytes
 
 WINDOW, GRAM = 50, 24
 LEFT = WINDOW - GRAM
 WIDE = WINDOW + 1 + LEFT
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 8 << 20
 #: Bytes of texts looked at once, and anchors that a task holds before it sends them.
-BLOCK, PENDING = 1 << 18, 2_000_000
+BLOCK, PENDING = 1 << 18, 1_000_000
 #: Bits of an anchor's hash that are sent; the bucket is told by others.
 KEY_BITS = 40
 _CODE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64)
@@ -309,7 +309,7 @@ def suffix_runs(docs: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
         kinds = (pa.int8(), pa.int32(), *[pa.binary()] * 5)
         return pa.table({n: pa.array(c, t) for n, t, c in zip(names, kinds, zip(*rows, strict=True), strict=True)})
 
-    left, right = docs.select("grp", "id", "row", "text").groupBy("grp"), answers.groupBy("grp")
+    left, right = docs.groupBy("grp"), answers.groupBy("grp")
     return left.cogroup(right).applyInArrow(lambda key, a, b: cut(key, a, b), "kind tinyint, target int, head binary, rest binary, a binary, b binary, c binary")
 
 
@@ -359,9 +359,11 @@ def union_spans(who: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarr
 
 
 def merged_spans(runs: DataFrame, groups: int) -> DataFrame:
-    """(target group, spans) of the repeats that the merged runs of each bucket show."""
+    """(target group, spans) of the repeats that the merged runs of each bucket show, and of those found before."""
 
-    def merge(table):
+    def merge(key, table):
+        if key[0].as_py():
+            return table.select(["target", "a", "b", "c"])
         lists, columns = [], {"a": [], "b": [], "c": []}
         for k in range(table.num_rows):
             head = table.column("head")[k].as_py()
@@ -377,7 +379,7 @@ def merged_spans(runs: DataFrame, groups: int) -> DataFrame:
         out = list(zip(*rows, strict=True)) or [(), (), (), ()]
         return pa.table({n: pa.array(c, pa.int32() if n == "target" else pa.binary()) for n, c in zip(("target", "a", "b", "c"), out, strict=True)})
 
-    return runs.groupBy("target").applyInArrow(lambda table: merge(table), "target int, a binary, b binary, c binary")
+    return runs.groupBy("kind", "target").applyInArrow(lambda key, table: merge(key, table), "target int, a binary, b binary, c binary")
 
 
 def kept_bytes(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -405,7 +407,7 @@ def kept_bytes(docs: DataFrame, spans: DataFrame) -> DataFrame:
         pieces = [kept[x:y] for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
         return pa.table({"doc_id": texts.column("doc_id"), "kept": pa.array(pieces, pa.binary()), "n_bytes": np.diff(offs), "n_removed": total[offs[1:]] - total[offs[:-1]], "n_spans": runs[offs[1:]] - runs[offs[:-1]]})
 
-    left, right = docs.select("grp", "doc_id", "row", "text").groupBy("grp"), spans.groupBy("grp")
+    left, right = docs.groupBy("grp"), spans.groupBy("grp")
     return left.cogroup(right).applyInArrow(lambda a, b: cut(a, b), "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
 
 
@@ -415,10 +417,9 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     number = F.col(doc_id).cast("long")
     rows = docs.select(number.alias("doc_id"), F.coalesce(number, F.lit(_LAST)).alias("id"), F.xxhash64(number, F.col(text)).alias("row"), F.col(text).alias("text"))
     rows = rows.withColumn("grp", F.pmod("row", F.lit(groups)).cast("int"))
-    found = written(suffix_runs(rows, shared_anchors(anchor_runs(rows, groups)), groups), "suffix-runs")
-    spans = merged_spans(found.filter("kind = 0"), groups)
-    spans = spans.unionByName(found.filter("kind = 1").select("target", "a", "b", "c")).withColumnRenamed("target", "grp")
-    return kept_bytes(rows, spans)
+    runs = suffix_runs(rows, shared_anchors(anchor_runs(rows, groups)), groups)
+    spans = merged_spans(runs, groups).withColumnRenamed("target", "grp")
+    return kept_bytes(rows, spans)  # its exchange of the texts is the one that suffix_runs made
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
