@@ -97,6 +97,15 @@ def gather(column: pa.Array | pa.ChunkedArray, dtype) -> np.ndarray:
     return np.frombuffer(text_arrays(column)[0].tobytes(), dtype)
 
 
+def squeeze(data: bytes) -> bytes:
+    """Zstandard, after the size as 8 bytes."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def expand(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True) if data[:8].strip(b"\0") else b""
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A finalizer: every bit of the result depends on every bit of x."""
     x = x ^ (x >> np.uint64(31))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import _powers, gather, mix64, scatter, text_arrays, total_bytes
+from ._common import _powers, distinct, expand, gather, mix64, scatter, squeeze, text_arrays, total_bytes
 
 WINDOW, GRAM = 50, 24
 LEFT = WINDOW - GRAM
@@ -305,7 +305,10 @@ def suffix_runs(docs: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
         edge = np.flatnonzero(np.concatenate([[True], bucket[kept][1:] != bucket[kept][:-1]]))
         for x, y in zip(edge.tolist(), [*edge[1:].tolist(), len(kept)], strict=True):
             k = kept[x:y]
-            rows.append((0, int(bucket[k[0]]), *front_code(table[k], size[k]), who[k].astype("<i8").tobytes(), row[k].astype("<i8").tobytes(), own[k].astype("<i8").tobytes()))
+            docs_here = distinct(doc[k])
+            named = np.concatenate([ids[docs_here], rows_of[docs_here]]).astype("<i8").tobytes()
+            parts = (*front_code(table[k], size[k]), named, np.searchsorted(docs_here, doc[k]).astype("<u4").tobytes(), own[k].astype("<i8").tobytes())
+            rows.append((0, int(bucket[k[0]]), *map(squeeze, parts)))
         kinds = (pa.int8(), pa.int32(), *[pa.binary()] * 5)
         return pa.table({n: pa.array(c, t) for n, t, c in zip(names, kinds, zip(*rows, strict=True), strict=True)})
 
@@ -364,17 +367,19 @@ def merged_spans(runs: DataFrame, groups: int) -> DataFrame:
     def merge(key, table):
         if key[0].as_py():
             return table.select(["target", "a", "b", "c"])
-        lists, columns = [], {"a": [], "b": [], "c": []}
-        for k in range(table.num_rows):
-            head = table.column("head")[k].as_py()
-            lists.append((front_decode(head, table.column("rest")[k].as_py()), list(head[::2])))
-            for c, out in columns.items():
-                out.append(np.frombuffer(table.column(c)[k].as_py(), "<i8"))
+        lists, ids, row, at = [], [], [], []
+        for line in table.to_pylist():
+            head = expand(line["head"])
+            lists.append((front_decode(head, expand(line["rest"])), list(head[::2])))
+            named, which = np.frombuffer(expand(line["a"]), "<i8").reshape(2, -1), np.frombuffer(expand(line["b"]), "<u4")
+            ids.append(named[0][which])
+            row.append(named[1][which])
+            at.append(np.frombuffer(expand(line["c"]), "<i8"))
         order, lcps = merge_runs(lists)
         entries = [lists[r][0][p] for r, p in order]
         begins = np.cumsum([0, *(len(x[0]) for x in lists)])
         flat = np.array([begins[r] + p for r, p in order], np.int64)
-        row, a, b = repeated_windows(entries, lcps, *(np.concatenate(columns[c])[flat] for c in "abc"))
+        row, a, b = repeated_windows(entries, lcps, *(np.concatenate(x)[flat] for x in (ids, row, at)))
         rows = list(scatter(row % groups, row.astype("<i8"), a.astype("<i8"), b.astype("<i8")))
         out = list(zip(*rows, strict=True)) or [(), (), (), ()]
         return pa.table({n: pa.array(c, pa.int32() if n == "target" else pa.binary()) for n, c in zip(("target", "a", "b", "c"), out, strict=True)})
