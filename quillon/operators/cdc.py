@@ -66,3 +66,16 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
 
 def delete_keys(target: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return target.join(keys.select(*on).distinct(), on, "left_anti")
+
+
+def reconcile(was: DataFrame, now: DataFrame, key: str, at: str, room: str, cancelled: str) -> DataFrame:
+    """(key, kind) of what changed under a reader's picks: gone, cancelled, moved, room; one line each, in that priority."""
+    both = was.select(key, F.struct(at, room).alias("w")).join(now.select(key, F.struct(at, room, cancelled).alias("n")), key, "left")
+    kind = F.when(F.col("n").isNull(), "gone").when(F.col(f"n.{cancelled}"), "cancelled").when(~F.col(f"w.{at}").eqNullSafe(F.col(f"n.{at}")), "moved").when(~F.col(f"w.{room}").eqNullSafe(F.col(f"n.{room}")), "room")
+    return both.select(key, kind.alias("kind")).filter("kind IS NOT NULL")
+
+
+def changed_since(rows: DataFrame, passed: DataFrame, stamp: str, overlap: str) -> DataFrame:
+    """Rows later than the mark of what has been read, less an overlap that is read again."""
+    mark = passed.agg((F.max(stamp) - F.expr(f"INTERVAL {overlap}")).alias("_mark"))
+    return rows.join(F.broadcast(mark), F.col(stamp) > F.col("_mark")).drop("_mark")  # one row
