@@ -23,20 +23,19 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import text_arrays, total_bytes, written
+from ._common import _SPACE, blocks, text_arrays, total_bytes, word_hashes, written
 
 #: Ids per word and bits per id, by selector 0 to 14.
 COUNTS = (240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2)
 BITS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30)
 ESCAPE = 15
 BLOCK_IDS = 1024
-#: Words whose ids a worker keeps.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker keeps (some 60 MB).
+CACHE_WORDS = 1_500_000
 #: Bytes of text per output partition.
 PART_BYTES = 48 << 20
 FILE_SCHEMA = "part int, seq int, doc_ids array<bigint>, n_tokens array<bigint>, block_ids array<int>, block_words array<bigint>, words binary"
@@ -136,8 +135,29 @@ def unpack(words: np.ndarray, held: np.ndarray, first: np.ndarray) -> np.ndarray
     return out[inside]
 
 
+_STOP = np.isin(np.arange(256), list(b".,!"))
+_LETTER = np.isin(np.arange(256), list(range(65, 91)) + list(range(97, 123)))
+#: Second bytes of the letters À to ÿ.
+_LATIN = np.isin(np.arange(256), [c for c in range(0x80, 0xC0) if c not in (0x97, 0xB7)])
+
+
+def split_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of the pieces that are encoded alone."""
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = ~_SPACE[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[offs] = True
+    stop = np.flatnonzero(_STOP[data])
+    before = data[np.maximum(stop - 1, 0)]
+    letter = _LETTER[before] | (_LATIN[before] & (data[np.maximum(stop - 2, 0)] == 0xC3))
+    cut[stop[letter & (stop > 0)]] = True
+    starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[:-1]))
+    ends = np.flatnonzero(inside[1:-1] & (~inside[2:] | cut[1:])) + 1
+    return starts, ends, np.searchsorted(offs, starts, "right") - 1
+
+
 class WordEncoder:
-    """Encodes texts through their distinct words; ids of words seen before are kept, up to CACHE_WORDS."""
+    """Encodes texts through their distinct words; ids of words seen before are kept by the words' 64-bit hashes."""
 
     #: Stands between words that are encoded together; a word that holds it is encoded alone.
     MARK = "\x01"
@@ -150,46 +170,76 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
-        self.known: dict[str, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = np.zeros(0, np.uint64)  # hashes in order, and where each word's ids begin
+        self.begin, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
 
-    def _encode_new(self, words: list[str]) -> None:
-        plain = [w for w in words if self.MARK not in w]
-        for w in words:
-            if self.MARK in w:
-                self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
+    def _encode_new(self, words: list[str]) -> list[np.ndarray]:
+        alone = lambda w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
+        out: dict[int, np.ndarray] = {k: alone(w) for k, w in enumerate(words) if self.MARK in w}
+        plain = [k for k in range(len(words)) if k not in out]
         groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        joined = self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(g) for g in groups], add_special_tokens=False)
+        joined = self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(words[k] for k in g) for g in groups], add_special_tokens=False)
         for group, found in zip(groups, joined, strict=True):
             ids = np.array(found.ids, np.uint32)
             cuts = np.flatnonzero(ids == self.mark[0])
             if len(self.mark) != 1 or len(cuts) != len(group) - 1:
-                pieces = [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32) for w in group]
+                out.update((k, alone(words[k])) for k in group)
             else:
-                pieces = [ids[a:b] for a, b in zip([0, *(cuts + 1)], [*cuts, len(ids)], strict=True)]
-            self.known.update(zip(group, pieces, strict=True))
+                out.update((k, ids[a:b]) for k, a, b in zip(group, [0, *(cuts + 1)], [*cuts, len(ids)], strict=True))
+        return [out[k] for k in range(len(words))]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and the number of ids of each text."""
-        texts = pc.fill_null(texts, "")
-        spaced = pc.replace_substring_regex(texts, pattern=r"([a-zA-ZÀ-ÖØ-öø-ÿ])([.,!])", replacement=r"\1 \2")
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(spaced))
-        per_text = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = lists.flatten().dictionary_encode()
-        vocabulary = coded.dictionary.to_pylist()
+        data, offs = text_arrays(texts)
+        found = [(np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)]
+        for i, j in blocks(offs):
+            part = data[offs[i] : offs[j]]
+            starts, ends, doc = split_words(part, offs[i : j + 1] - offs[i])
+            found.append((word_hashes(part, starts, ends), starts + offs[i], ends + offs[i], doc + i))
+        keys, starts, ends, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+        raw = data.tobytes()
+        # Words that may hold a special token's string are told apart by case: the tokenizer looks for those before it folds.
+        special = self._special(raw, starts, ends)
+        for k in special:
+            word = raw[starts[k] : ends[k]]
+            keys[k] ^= np.uint64(zlib.crc32(word) << 32 | zlib.crc32(word[::-1]))
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        if new := [w for w in vocabulary if w not in self.known]:
-            self._encode_new(new)
-        pieces = [self.known[w] for w in vocabulary]
-        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        table = np.concatenate(pieces) if pieces else np.zeros(0, np.uint32)
-        begins = np.cumsum(lengths) - lengths
-        which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        each = lengths[which]
-        ends = np.cumsum(each)
-        ids = table[np.repeat(begins[which] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_text)])]
-        return ids, np.diff(edges)
+            self.forget()
+        order = np.argsort(keys)
+        first = order[np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), keys[order][1:] != keys[order][:-1]]))]
+        spot = np.searchsorted(self.known, keys[first])
+        new = first[self.known[np.minimum(spot, len(self.known) - 1)] != keys[first]] if len(self.known) else first
+        if len(new):
+            words = [raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+            words = [(w if b"<|" in w else w.lower()).decode("utf-8", "replace") for w in words]  # bytes.lower() is A-Z only
+            pieces = self._encode_new(words)
+            lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+            begins = len(self.ids) + np.cumsum(lengths) - lengths
+            at = np.searchsorted(self.known, keys[new])
+            self.known = np.insert(self.known, at, keys[new])
+            self.begin, self.length = np.insert(self.begin, at, begins), np.insert(self.length, at, lengths)
+            self.ids = np.concatenate([self.ids, *pieces])
+        # Words in the order of their keys meet the known ones in the same order.
+        which = np.empty(len(keys), np.int64)
+        which[order] = np.searchsorted(self.known, keys[order])
+        each = self.length[which]
+        ends_at = np.cumsum(each)
+        ids = self.ids[np.repeat(self.begin[which] - (ends_at - each), each) + np.arange(int(ends_at[-1]) if len(ends_at) else 0)]
+        return ids, np.bincount(doc, each, len(offs) - 1).astype(np.int64)
+
+    @staticmethod
+    def _special(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> list[int]:
+        out, at = [], raw.find(b"<|")
+        while at >= 0:
+            k = int(np.searchsorted(starts, at, "right")) - 1
+            if k >= 0 and at < ends[k]:
+                out.append(k)
+            at = raw.find(b"<|", at + 2)
+        return sorted(set(out))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
