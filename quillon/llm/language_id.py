@@ -27,7 +27,7 @@ UND = "und"
 #: Bounds of the fitted sample: documents a language, bytes of each, bytes a language.
 SAMPLE_DOCS, SAMPLE_SLICE, SAMPLE_BYTES = 96, 1024, 49_152
 PIECE = 2048
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 #: A-Z are lower-cased; other ASCII but letters counts as space.
 _FOLD = np.full(256, 0x20, np.uint8)
@@ -36,8 +36,11 @@ _FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
 
 
 def fold(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased bytes with one space between words, and new offsets."""
+    """Lower-cased bytes (A to Z, À to Þ) with one space between words, and new offsets."""
+    high = np.flatnonzero(data[1:] <= 0x9E) + 1
+    high = high[(data[high] >= 0x80) & (data[high] != 0x97) & (data[high - 1] == 0xC3)]
     data = _FOLD[data]
+    data[high] += 0x20
     space = data == 0x20
     keep = np.ones(len(data), bool)
     keep[1:] = ~(space[1:] & space[:-1])
@@ -114,8 +117,10 @@ def parse_counts(automata: list[SuffixAutomaton], data: np.ndarray, offs: np.nda
     out = np.zeros((len(automata), len(size)), np.int64)
     if not len(doc):
         return out
-    spots = np.minimum(start[None, :] + np.arange(length[0])[:, None], len(data) - 1)
-    columns = data[spots]
+    padded = np.concatenate([data, np.zeros(PIECE, np.uint8)])
+    columns = np.empty((int(length[0]), len(start)), np.uint8)
+    for t in range(len(columns)):
+        np.take(padded, start + t, out=columns[t])
     for k, automaton in enumerate(automata):
         out[k] = np.bincount(doc, automaton.phrases(columns, length), len(size)).astype(np.int64)
     return out
@@ -129,7 +134,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
     rows = ranked.select("lang", "n", F.substring("text", half, F.lit(SAMPLE_SLICE)).alias("text")).orderBy("lang", "n").collect()
     samples: dict[str, bytes] = {}
     for row in rows:
-        raw = row["text"].lower().encode()
+        raw = row["text"].encode()
         data, _ = fold(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
         samples[row["lang"]] = (samples.get(row["lang"], b"") + data.tobytes() + b"\n")[:SAMPLE_BYTES]
     return sorted(samples.items())
@@ -142,10 +147,14 @@ def predict(docs: DataFrame, samples: list[tuple[str, bytes]], text: str = "text
     """The kept columns (default: all) with the predicted language and its score."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(samples)
-    kept = docs.select(*(keep if keep is not None else docs.columns))
-    source = docs.select(*(keep if keep is not None else docs.columns), F.when(F.col(text).rlike(r"\p{L}"), F.lower(text)).alias("_q_text"))
+    columns = keep if keep is not None else docs.columns
+    kept = docs.select(*columns)
+    own = keep is None  # the text is among the kept columns and sent once
+    source = docs.select(*columns, *([] if own else [F.col(text).alias("_q_text")]), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_q_letter"))
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept.schema)}, `{lang_out}` string, `{score_out}` double"
 
+    kept_names = kept.columns
+
     def run(batches):
         samples = shared.value
         automata = _BUILT.get(hash(tuple(samples)))
@@ -155,7 +164,7 @@ def predict(docs: DataFrame, samples: list[tuple[str, bytes]], text: str = "text
         names = [name for name, _ in samples]
         bits = np.array([math.log2(a.size + 1) for a in automata])
         for batch in batches:
-            column = batch.column("_q_text")
+            column = batch.column(text if own else "_q_text")
             data, offs = text_arrays(column)
             found, scores = [], []
             i = 0
@@ -173,10 +182,10 @@ def predict(docs: DataFrame, samples: list[tuple[str, bytes]], text: str = "text
                     found.extend([UND] * (j - i))
                     scores.append(np.zeros(j - i))
                 i = j
-            empty = np.asarray(column.is_null())
+            empty = ~np.asarray(batch.column("_q_letter"))
             score = np.where(empty, 0.0, np.concatenate(scores) if scores else np.zeros(0))
             lang = pc.if_else(pa.array(empty), UND, pa.array(found, pa.string()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 1)), lang, pa.array(score)], names=[*batch.schema.names[:-1], lang_out, score_out])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept_names))), lang, pa.array(score)], names=[*kept_names, lang_out, score_out])
 
     return source.mapInArrow(run, schema)
 
