@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -44,6 +46,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(f):
+    """f over the batches of a task; a worker gives the memory that a task has freed back to the system at its end."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries lack it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def text_arrays(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, one after another, and the offsets of each (null: empty)."""
     if isinstance(column, pa.ChunkedArray):

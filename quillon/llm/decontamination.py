@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import blocks, distinct, shingle_sets, text_arrays
+from ._common import blocks, distinct, shingle_sets, text_arrays, tidy
 
 BLOCK_ITEMS = 20_000
 SHINGLE, THRESHOLD = 5, Fraction(4, 5)
@@ -142,7 +142,7 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
                         names=[*batch.schema.names[:-1], "item_id", "n_shingles", "n_shared", "containment"],
                     )
 
-        results.append(source.mapInArrow(run, schema))
+        results.append(source.mapInArrow(tidy(run), schema))
     out = results[0]
     for more in results[1:]:
         out = out.unionByName(more)
@@ -160,7 +160,7 @@ def without_items(docs: DataFrame, items: DataFrame, text: str = "text", item_id
                 clean[[d for d, *_ in batch_hits(shared.value, batch.column(place))]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import tidy, written
 from ._components import components
 
 THRESHOLD = 0.93
@@ -52,7 +52,7 @@ def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
 
     if not dims:
         return {}
-    cells = vectors.select("dim", "embedding").mapInArrow(moments, "dim int, moment array<double>").select("dim", F.posexplode("moment"))
+    cells = vectors.select("dim", "embedding").mapInArrow(tidy(moments), "dim int, moment array<double>").select("dim", F.posexplode("moment"))
     totals = cells.groupBy("dim", "pos").agg(F.sum("col").alias("s")).collect()
     out = {}
     for dim in {r["dim"] for r in totals}:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import text_arrays
+from ._common import text_arrays, tidy
 
 UND = "und"
 #: Bounds of the fitted sample: documents a language, bytes of each, bytes a language.
@@ -187,7 +187,7 @@ def predict(docs: DataFrame, samples: list[tuple[str, bytes]], text: str = "text
             lang = pc.if_else(pa.array(empty), UND, pa.array(found, pa.string()))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept_names))), lang, pa.array(score)], names=[*kept_names, lang_out, score_out])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:

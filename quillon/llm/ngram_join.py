@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import blocks, distinct_counts, gather, mix64, scatter, shingle_sets, text_arrays, written
+from ._common import blocks, distinct_counts, gather, mix64, scatter, shingle_sets, text_arrays, tidy, written
 from ._components import components
 from .embedding_dedup import spanning_forest
 
 #: Most frequent shingles that are broadcast with their counts.
 HEAVY = 1 << 19
 #: A shingle counts as repeated when it has so many documents in a chunk of CHUNK shingles.
-REPEATED, CHUNK = 3, 4 << 20
+REPEATED, CHUNK = 3, 2 << 20
 #: Tokens of more classes are compared in tiles instead of by emitted pairs.
 HOT = 64
 TILE = 512
@@ -84,7 +84,7 @@ def profile(docs: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int8)), batch.column(0), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(prints))], names=["kind", "id", "n", "fp"])
         yield repeated()
 
-    return docs.mapInArrow(run, "kind tinyint, id bigint, n bigint, fp bigint")
+    return docs.mapInArrow(tidy(run), "kind tinyint, id bigint, n bigint, fp bigint")
 
 
 def frequent(counts: DataFrame, most: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
@@ -181,13 +181,13 @@ def prefix_runs(docs: DataFrame, order: TokenOrder, buckets: int, n: int, percen
                 parts = np.where(freq > HOT, -(-freq // TILE), 0)
                 salt = np.where(parts > 0, 1 + fp[doc].view(np.uint64) % np.maximum(parts, 1).astype(np.uint64), 0)
                 pending.append((token[keep], fp[doc], size[doc].astype(np.int32), place[keep].astype(np.int32), ask[doc].astype(np.int8), salt.astype(np.int32)))
-            if sum(len(x[0]) for x in pending) > 1_000_000:
+            if sum(len(x[0]) for x in pending) > 500_000:
                 yield flush()
                 pending = []
         if pending and sum(len(x[0]) for x in pending):
             yield flush()
 
-    return docs.select("text").mapInArrow(run, schema)
+    return docs.select("text").mapInArrow(tidy(run), schema)
 
 
 def shared_tokens(runs: DataFrame) -> DataFrame:
@@ -276,7 +276,7 @@ class Join:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.binary())], names=[*batch.schema.names[:-1], "keys"]).filter(pa.array(right))
 
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema.fields[:-1])
-        return wanted.mapInArrow(run, f"{kinds}, keys binary")
+        return wanted.mapInArrow(tidy(run), f"{kinds}, keys binary")
 
     def tiles(self, members: DataFrame) -> DataFrame:
         """Links (a, b) among members (g, lo, hi, part, fp), compared group by group; enough of them to connect."""
@@ -369,7 +369,7 @@ class Join:
                     good[k] = 100 * shared >= percent * (len(p) + len(q) - shared)
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good))
 
-        return both.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
+        return both.select("a", "b", "x", "y").mapInArrow(tidy(check), "a bigint, b bigint")
 
 
 def near_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, name: str = "ngrams") -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import _powers, distinct, expand, gather, mix64, scatter, squeeze, text_arrays, total_bytes
+from ._common import _powers, distinct, expand, gather, mix64, scatter, squeeze, text_arrays, tidy, total_bytes
 
 WINDOW, GRAM = 50, 24
 LEFT = WINDOW - GRAM
@@ -129,7 +129,7 @@ def anchor_runs(docs: DataFrame, buckets: int) -> DataFrame:
         if pending:
             yield flush()
 
-    return docs.select("grp", "text").mapInArrow(run, "bucket int, key binary, grp binary, several binary")
+    return docs.select("grp", "text").mapInArrow(tidy(run), "bucket int, key binary, grp binary, several binary")
 
 
 def _keys(column) -> np.ndarray:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import _SPACE, blocks, text_arrays, total_bytes, word_hashes, written
+from ._common import _SPACE, blocks, text_arrays, tidy, total_bytes, word_hashes, written
 
 #: Ids per word and bits per id, by selector 0 to 14.
 COUNTS = (240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2)
@@ -274,7 +274,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = 1, doc_id
                 seq += 1
                 i = j
 
-    return written(ordered.mapInArrow(encode, FILE_SCHEMA), name)
+    return written(ordered.mapInArrow(tidy(encode), FILE_SCHEMA), name)
 
 
 def _one_list(values, kind) -> pa.Array:
@@ -316,7 +316,7 @@ def read_tokens(files: DataFrame, with_ids: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "part int, seq int, nth int, doc_id bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
-    return files.mapInArrow(decode, schema)
+    return files.mapInArrow(tidy(decode), schema)
 
 
 def document_starts(files: DataFrame, documents: DataFrame) -> DataFrame:
