@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,3 +25,10 @@ def new_ids(groups: DataFrame, ledger: DataFrame, source: str, group: str, id_:
     known = groups.join(ledger.select(source, id_), source, "left").groupBy(group).agg(F.min(id_).alias("kept"), F.array_sort(F.collect_set(id_)).alias("ids"), F.min(source).alias("smallest"))
     kept = F.coalesce("kept", F.col("smallest").cast("string"))
     return known.select(group, kept.alias(id_), F.filter("ids", lambda x: x != F.col("kept")).alias("merged"))
+
+
+def split_lines(claims: DataFrame, id_: str, group: str, size: str, smallest: str) -> DataFrame:
+    """Claims of groups on ledger ids with `new_id`: the largest group keeps the id, then the one with the smallest source;
+    the others get the id with a number, in that order."""
+    rank = F.row_number().over(Window.partitionBy(id_).orderBy(F.desc(size), smallest, group))
+    return claims.withColumn("_n", rank).withColumn("new_id", F.concat_ws(".", F.col(id_).cast("string"), F.when(F.col("_n") > 1, (F.col("_n") - 1).cast("string")))).drop("_n")
