@@ -263,11 +263,11 @@ def pick_reconcile(spark, sf_dir):
 
 @query(
     "watermark_pull",
-    "SELECT event_id, user_id, ts FROM events WHERE ts > (SELECT max(ts) - INTERVAL 60 SECOND FROM events WHERE event_id < 5000)",
+    "SELECT event_id, user_id, ts FROM events WHERE ts > (SELECT max(ts) - INTERVAL 60 SECOND FROM events WHERE ts < TIMESTAMP '2024-01-15 00:00:00')",
 )
 def watermark_pull(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    return cdc.changed_since(e, e.filter("event_id < 5000"), "ts", "60 seconds")
+    return cdc.changed_since(e, e.filter("ts < TIMESTAMP_NTZ '2024-01-15 00:00:00'"), "ts", "60 seconds")
 
 
 @query(

@@ -165,12 +165,12 @@ def suffix_token_unique(spark, sf_dir):
     return tokens.groupBy("token").agg(F.when(F.count("*") == 1, F.min("doc_id")).alias("doc_id"))
 
 
-_THINGS = "WITH things AS (SELECT DISTINCT l_orderkey AS item, l_partkey % 200 AS thing FROM lineitem), picks AS (SELECT DISTINCT o_custkey % 100 AS u, o_orderkey AS item FROM orders WHERE o_orderkey % 5 = 0), total AS (SELECT count(DISTINCT item) AS items FROM things), rare AS (SELECT thing, count(*) AS n, ln(any_value(items) / count(*)) AS rarity FROM things, total GROUP BY thing)\n"
+_THINGS = "WITH things AS (SELECT DISTINCT l_orderkey AS item, l_partkey AS thing FROM lineitem), picks AS (SELECT DISTINCT o_custkey AS u, o_orderkey AS item FROM orders), total AS (SELECT count(DISTINCT item) AS items FROM things), rare AS (SELECT thing, count(*) AS n, ln(any_value(items) / count(*)) AS rarity FROM things, total GROUP BY thing)\n"
 
 
 def _things(spark, sf_dir):
-    things = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item"), (F.col("l_partkey") % 200).alias("thing")).distinct()
-    picks = table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0").select((F.col("o_custkey") % 100).alias("u"), F.col("o_orderkey").alias("item"))
+    things = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("thing")).distinct()
+    picks = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("u"), F.col("o_orderkey").alias("item"))
     return things, picks
 
 
