@@ -80,6 +80,35 @@ def unigram_base(docs):
     return {i: (held[i], len(w), sum(count[x] > 0 for x in w), n, sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w)) for i, w in ((i, [*words(t), None]) for i, t in docs)}
 
 
+def ppm(docs, order=5):
+    """doc_id -> score by all strings of the training texts: escapes by method C, symbol exclusion"""
+    end, tables, known = 256, defaultdict(Counter), {}
+
+    def places(t):
+        data = [*(b + 32 if 65 <= b <= 90 else b for b in (t or "").encode()), end]
+        padded = [10] * order + data
+        return [(tuple(padded[i : i + order]), x) for i, x in enumerate(data)]
+
+    def cost(context, x):
+        out, gone = 0.0, set()
+        for k in range(order, -1, -1):
+            table = tables.get(context[order - k :], {})
+            left = {y: n for y, n in table.items() if y not in gone}
+            if x in left:
+                return out + math.log10(left[x] / (sum(left.values()) + len(left)))
+            if left:
+                out += math.log10(len(left) / (sum(left.values()) + len(left)))
+            gone |= set(table)
+        return out - math.log10(max(1, 257 - len(gone)))
+
+    for i, t in docs:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            for context, x in places(t):
+                for k in range(order + 1):
+                    tables[context[k:]][x] += 1
+    return {i: sum(known[p] if p in known else known.setdefault(p, cost(*p)) for p in places(t)) for i, t in docs}
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")

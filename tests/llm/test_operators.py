@@ -1,6 +1,7 @@
 """The operators against plain versions, on a small table of the driver's and on one of odd rows."""
 
 import hashlib
+import math
 import sys
 import zlib
 from pathlib import Path
@@ -101,6 +102,21 @@ def test_lm_base(spark, folder):
         assert r.score < 0
 
 
+@pytest.mark.parametrize("most", [0, 300, 1 << 20])
+def test_lm_uses_every_string(spark, folder, monkeypatch, most):
+    """However few strings are broadcast, the others are looked up, and escapes count all symbols."""
+    monkeypatch.setattr(ppm_scoring, "NODES", most)
+    want = brute.ppm(texts(spark, folder))
+    got = {r.doc_id: r.score for r in ppm_scoring.op3(spark, folder).collect()}
+    assert got == {i: pytest.approx(x, rel=1e-9) for i, x in want.items()}
+
+
+def test_lm_without_training_text(spark, tmp_path):
+    spark.createDataFrame([(None, "Ab"), (None, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(r.score for r in ppm_scoring.op3(spark, str(tmp_path)).collect())
+    assert got == [pytest.approx(-3 * math.log10(257)), pytest.approx(-math.log10(257))]
+
+
 def test_lm_probabilities_sum_to_one():
     texts = np.frombuffer(b"the cat sat on the mat the hat that sat", np.uint8)
     context, symbol, _ = ppm_scoring.symbols(texts, np.array([0, 20, len(texts)]))
