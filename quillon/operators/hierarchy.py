@@ -34,7 +34,29 @@ def most_specific(links: DataFrame, closed: DataFrame, item: str, node: str) ->
     return links.join(above, [item, node], "left_anti")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows without their lineage: in the folder that spark.checkpoint.dir names, or at the executors where it is unset."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") else df.localCheckpoint()
+
+
+def _ends(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(id, to) with `to` where the links (id, to) end, and the nodes of rings where there are any. A round doubles the jumps
+    until nothing moves; after more jumps than there are links only what leads into a ring still does."""
+    reach = links
+    for _ in range(links.count().bit_length() + 1):
+        step = reach.select(F.col("id").alias("to"), F.col("to").alias("next"))
+        raised = settled(reach.join(step, "to", "left").select("id", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
+        reach = raised.select("id", "to")
+        if raised.filter("moved").isEmpty():
+            return reach, None
+    return reach, raised.filter("moved").select(F.col("to").alias("id")).distinct()
+
+
 def resolved(ledger: DataFrame, id_: str = "id", into: str = "merged_into") -> DataFrame:
-    """(id, survivor): every merged id with the id its chain of merges ends in."""
-    closed = closure(ledger.select(F.col(id_).alias("id"), F.col(into).alias("parent")))
-    return closed.groupBy("id").agg(F.max_by("ancestor", "depth").alias("survivor"))
+    """(id, survivor): every id with the id its chain of merges ends in, however long. A ring has no end: its ids stay
+    as they are, and a chain that leads into it ends where it meets it."""
+    links = settled(ledger.filter(F.col(into).isNotNull()).groupBy(F.col(id_).alias("id")).agg(F.max(into).alias("to")))
+    found, ring = _ends(links)
+    if ring is not None:
+        found, _ = _ends(links.join(ring, "id", "left_anti"))
+    return ledger.select(F.col(id_).alias("id")).distinct().join(found, "id", "left").select("id", F.coalesce("to", "id").alias("survivor"))

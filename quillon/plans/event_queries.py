@@ -220,9 +220,24 @@ def most_specific_links(spark, sf_dir):
     "WITH RECURSIVE l AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN (SELECT max(o_orderkey) FROM orders p WHERE p.o_orderkey < o.o_orderkey) END AS into_id FROM orders o WHERE o_orderkey < 2000), up AS (SELECT id, id AS survivor, 0 AS d FROM l UNION ALL SELECT up.id, l.into_id, d + 1 FROM up JOIN l ON l.id = up.survivor WHERE l.into_id IS NOT NULL) SELECT id, arg_max(survivor, d) AS survivor FROM up GROUP BY id",
 )
 def merge_chains(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderkey < 2000").select(F.col("o_orderkey").alias("id"))
-    before = F.lag("id").over(Window.orderBy("id"))  # a part of the ledger: at most 2000 rows
-    return hierarchy.resolved(o.withColumn("merged_into", F.when(F.col("id") % 3 == 0, before)))
+    """The part of the ledger that its SQL names; merge_chains_whole is over all of it."""
+    return hierarchy.resolved(_ledger(table(spark, sf_dir, "orders").filter("o_orderkey < 2000")))
+
+
+def _ledger(orders, span=1024):
+    """Orders as a ledger (id, merged_into): every third key is merged into the key before it. Keys are ordered within spans;
+    a span's first key follows the last one of the span before it that has any, of which there is a row a span."""
+    o = orders.select(F.col("o_orderkey").alias("id"), F.floor(F.col("o_orderkey") / span).alias("span"))
+    last = o.groupBy("span").agg(F.max("id").alias("last"))
+    carried = last.select("span", F.lag("last").over(Window.orderBy("span")).alias("carried"))
+    before = F.lag("id").over(Window.partitionBy("span").orderBy("id"))
+    return o.withColumn("before", before).join(carried, "span").select("id", F.when(F.col("id") % 3 == 0, F.coalesce("before", "carried")).alias("merged_into"))
+
+
+@query("merge_chains_whole")
+def merge_chains_whole(spark, sf_dir):
+    """merge_chains over every order; its SQL takes too long there."""
+    return hierarchy.resolved(_ledger(table(spark, sf_dir, "orders")))
 
 
 @query(
