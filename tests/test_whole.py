@@ -3,7 +3,7 @@
 import pytest
 
 from quillon.operators import hierarchy
-from quillon.plans import event_queries
+from quillon.plans import event_queries, text_queries
 
 
 def ends(into, i):
@@ -34,3 +34,12 @@ def test_merge_chains_over_the_whole_ledger(spark, tmp_path):
     into = {k: (b if k % 3 == 0 else None) for b, k in zip([None, *keys], keys)}
     got = {r.id: r.survivor for r in event_queries.merge_chains_whole(spark, str(tmp_path)).collect()}
     assert got == {i: ends(into, i) for i in into}
+
+
+def test_two_of_three_over_every_part(spark, tmp_path):
+    parts = [(k, f"b{k % 3}" if k % 11 else None, f"t{k % 4}", k % 5) for k in range(1, 90)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_type string, p_size long").write.parquet(f"{tmp_path}/part.parquet")
+    later = [(k, "X" if k % 23 == 3 else x, y, None if k % 37 == 5 else z) for k, x, y, z in parts]
+    want = sorted((a[0], b[0]) for a in parts for b in later if sum(u is not None and u == v for u, v in zip(a[1:], b[1:])) >= 2)
+    got = sorted((r.gone, r.new) for r in text_queries.two_of_three_whole(spark, str(tmp_path)).collect())
+    assert got == want and {a for a, _ in got} == {k for k, *_ in parts}
