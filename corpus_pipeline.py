@@ -14,6 +14,8 @@ SHARDS = 16
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go: no text, or no letter in it."""
     samples = language_id.learn(docs)
+    if not samples:  # every document would be of no known language
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     names = docs.columns
     marked = language_id.predict(docs, samples, lang_out="_q_lang", score_out="_q_score")
     return marked.filter(F.col("_q_lang") != language_id.UND).select(*names)

@@ -43,3 +43,10 @@ def test_two_of_three_over_every_part(spark, tmp_path):
     want = sorted((a[0], b[0]) for a in parts for b in later if sum(u is not None and u == v for u, v in zip(a[1:], b[1:])) >= 2)
     got = sorted((r.gone, r.new) for r in text_queries.two_of_three_whole(spark, str(tmp_path)).collect())
     assert got == want and {a for a, _ in got} == {k for k, *_ in parts}
+
+
+def test_pipeline_keeps_texts_where_no_language_was_learned(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "plain words", None), (2, "12 34", None), (3, None, None), (4, "\u00e9", None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_known_language(spark, docs, "").collect()) == [1, 4]
