@@ -35,7 +35,7 @@ def fuzzy_terms(vocabulary: DataFrame, query: list[str], share: float = 0.2, pre
     """(query, term, how) for exact terms, continuations of words of `prefix` letters, and close spellings of longer words."""
     asked = vocabulary.sparkSession.createDataFrame([(q, int(len(q) * share) if len(q) > 4 else 0) for q in sorted(set(query))], "query string, edits int")
     how = F.when(F.col("term") == F.col("query"), "exact").when((F.length("query") >= prefix) & F.col("term").startswith(F.col("query")), "prefix").when((F.col("edits") > 0) & (F.levenshtein("term", "query") <= F.col("edits")), "close")
-    return vocabulary.join(F.broadcast(asked), F.abs(F.length("term") - F.length("query")) <= F.greatest(F.lit(12), "edits")).withColumn("how", how).filter("how IS NOT NULL").select("query", "term", "how")  # the query's words
+    return vocabulary.join(F.broadcast(asked), F.col("term").startswith(F.col("query")) | (F.abs(F.length("term") - F.length("query")) <= F.col("edits"))).withColumn("how", how).filter("how IS NOT NULL").select("query", "term", "how")  # the query's words
 
 
 def suggest(names: DataFrame, group: str, name: str, typed: str, n: int = 5) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from quillon.operators import hierarchy
+from quillon.operators import hierarchy, search
 from quillon.plans import event_queries, text_queries
 
 
@@ -45,6 +45,15 @@ def test_two_of_three_over_every_part(spark, tmp_path):
     assert got == want and {a for a, _ in got} == {k for k, *_ in parts}
 
 
+def test_prefix_matches_of_any_length(spark):
+    words = ["widget", "widgets", "widget" + "like" * 9, "wodget", "widge", "budget", "smal", "smallest" + "x" * 40, "abc", "abcd", "1234567890" * 7]
+    got = sorted((r.query, r.term, r.how) for r in search.fuzzy_terms(spark.createDataFrame([(w,) for w in words], "term string"), ["widget", "smal", "abc", "1234567890" * 6]).collect())
+    assert got == sorted([
+        ("widget", "widget", "exact"), ("widget", "widgets", "prefix"), ("widget", "widget" + "like" * 9, "prefix"), ("widget", "wodget", "close"), ("widget", "widge", "close"),
+        ("smal", "smal", "exact"), ("smal", "smallest" + "x" * 40, "prefix"), ("abc", "abc", "exact"), ("1234567890" * 6, "1234567890" * 7, "prefix"),
+    ])
+
+
 def test_pipeline_keeps_texts_where_no_language_was_learned(spark):
     import corpus_pipeline
 
