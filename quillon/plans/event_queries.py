@@ -236,7 +236,7 @@ def _ledger(orders, span=1024):
 
 @query("merge_chains_whole")
 def merge_chains_whole(spark, sf_dir):
-    """merge_chains over every order; its SQL takes too long there."""
+    """merge_chains over every order; it has no SQL."""
     return hierarchy.resolved(_ledger(table(spark, sf_dir, "orders")))
 
 

@@ -258,7 +258,7 @@ def part_versions(spark, sf_dir):
 
 @query("two_of_three_whole")
 def two_of_three_whole(spark, sf_dir):
-    """two_of_three of every part against every part of a later version; SQL that compares all pairs takes too long there."""
+    """two_of_three of every part against every part of a later version; it has no SQL."""
     from ..operators.identity import two_of_three as match
 
     return match(*part_versions(spark, sf_dir), "id", ["x", "y", "z"])
