@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -26,40 +27,96 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTE_CODE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
 _WORD_CODE = _BYTE_CODE[_LOWER]
 _POWERS: list[np.ndarray] = []
+_LEAN: list[bool] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one where that is unset and all
+    tasks run in the driver's process (tests). On a cluster it must be set: other machines would not see such a folder."""
     conf = spark.sparkContext.getConf()
     if conf.get("spark.checkpoint.dir"):
         return conf.get("spark.checkpoint.dir")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not getattr(shared_dir, "own", None):
         shared_dir.own = "file://" + tempfile.mkdtemp(prefix="quillon-")
     return shared_dir.own
 
 
+@contextlib.contextmanager
+def _settings(spark: SparkSession, **values: int):
+    """Session settings of spark.sql.execution.arrow for a while; those of the session come back."""
+    names = {f"spark.sql.execution.arrow.{k}": v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: cuts lineage and outlives executors."""
+    """The rows as a table in the shared folder: cuts lineage and outlives executors. Batches for Python are kept small
+    meanwhile, which bounds the memory beside the heap."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _settings(spark, maxRecordsPerBatch=2000, maxBytesPerBatch=4 << 20):
+        df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._quillon_path = path
+    return table
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Removes tables that written() made, once nothing reads them any more."""
+    for table in tables:
+        if path := getattr(table, "_quillon_path", None):
+            jvm = table.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _lean() -> None:
+    """Large arrays of this worker get pages of their own, which go back to the system when they are freed."""
+    if not _LEAN:
+        _LEAN.append(True)
+        pa.set_memory_pool(pa.system_memory_pool())
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries lack it
+            library = ctypes.CDLL(None)
+            library.mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD
+            library.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def tidy(f):
     """f over the batches of a task; a worker gives the memory that a task has freed back to the system at its end."""
 
     def run(batches):
+        _lean()
         try:
             yield from f(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # other C libraries lack it
-                ctypes.CDLL(None).malloc_trim(0)
+            _give_back()
 
     return run
 
 
+def tidied(f, *tables):
+    """f of a group's tables, for applyInArrow; frees memory as tidy() does."""
+    _lean()
+    try:
+        return f(*tables)
+    finally:
+        _give_back()
+
+
 def text_arrays(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, one after another, and the offsets of each (null: empty)."""
     if isinstance(column, pa.ChunkedArray):
@@ -133,12 +190,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the odd base and of its inverse modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, BLOCK_BYTES + 1)
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        _POWERS[:] = [np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, b, np.uint64))]) for b in (_BASE, inverse)]
-    return _POWERS[0], _POWERS[1]
+    """Powers of the odd base and of its inverse modulo 2**64; those for a block are kept."""
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS[0], _POWERS[1]
+    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+    made = [np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n, BLOCK_BYTES + 1), b, np.uint64))]) for b in (_BASE, inverse)]
+    if n <= BLOCK_BYTES + 2:
+        _POWERS[:] = made
+    return made[0], made[1]
 
 
 def word_bounds(data: np.ndarray, offs: np.ndarray, separator: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,14 +213,23 @@ def word_bounds(data: np.ndarray, offs: np.ndarray, separator: np.ndarray = _SPA
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words, A-Z lower-cased, from prefix sums of a polynomial in an odd base."""
-    power, inverse = _powers(len(data) + 1)
-    terms = np.take(_WORD_CODE, data)
-    terms *= power[: len(data)]
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(terms, out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, code: np.ndarray = _WORD_CODE) -> np.ndarray:
+    """64-bit hashes of the words, from prefix sums of a polynomial in an odd base, a block at a time. The usual code
+    lower-cases A-Z."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK_BYTES, "right")))
+        part = data[starts[i] : ends[j - 1]]
+        power, inverse = _powers(len(part) + 1)
+        terms = np.take(code, part)
+        terms *= power[: len(part)]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(terms, out=sums[1:])
+        a, b = starts[i:j] - starts[i], ends[i:j] - starts[i]
+        out[i:j] = mix64((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64))
+        i = j
+    return out
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int, separator: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:

@@ -6,14 +6,20 @@ least l: documents lengthen their prefix (a larger l) where their estimated cand
 share as many prefix tokens as the smaller l of the two before it is verified.
 
 Steps:
-1. One pass gives each set's size and fingerprint and counts shingles that repeat within a chunk; the HEAVY most frequent
-   of those sums (a fixed bound, broadcast) give the order. The order only steers cost: any order gives the same links.
-2. A second pass chooses l and sends prefix tokens, deduplicated by fingerprint (equal sets are one class), to buckets by
-   token. Frequent tokens are dealt over sub-buckets. Tokens that one class alone holds go no further.
+1. One pass gives each set's size, fingerprint and parity bitmap and counts shingles that repeat within a chunk; the HEAVY
+   most frequent of those sums (a fixed bound, broadcast) give the order. The order only steers cost: any order gives the
+   same links. Equal sets are one class; a second fingerprint tells whether the first ever joins unequal sets, in which case
+   the pass runs again with another salt.
+2. A second pass chooses l and sends prefix tokens, once a class, to buckets by token. Frequent tokens are dealt over
+   sub-buckets. Tokens that one class alone holds go no further.
 3. Classes are grouped by their smallest shared token, in tiles of at most TILE, and verified there; groups are then
    bridged by a few representatives of each component. What is linked needs no more comparisons.
-4. Pairs from different components that share enough prefix tokens are verified. Tokens of more than HOT classes do not
-   emit pairs: their classes are compared tile by tile, unless one component holds them all.
+4. Pairs from different components that share enough prefix tokens are candidates. A candidate whose bitmaps differ in more
+   bits than the sets may differ in elements cannot be similar (equal elements cancel out, so every bit that differs stands
+   for an element of one set alone); all others are verified by their sets.
+5. Tokens of more than HOT classes do not emit pairs: their classes are compared tile by tile, by bitmap, unless one
+   component holds them all. Of a tile's candidates first only a forest that would connect its components is verified, by
+   the fewest bits that differ, then one by another order, and at last all that still join different components.
 Only links that connect are kept; connected components give the result.
 
 Defined cases: null, empty or wordless texts have no shingles and link with nothing; fewer than n words: the whole sequence
@@ -28,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import blocks, distinct_counts, gather, mix64, scatter, shingle_sets, text_arrays, tidy, written
+from ._common import blocks, distinct_counts, forget, gather, mix64, scatter, shingle_sets, text_arrays, tidied, tidy, written
 from ._components import components
 from .embedding_dedup import spanning_forest
 
@@ -40,6 +46,7 @@ REPEATED, CHUNK = 3, 2 << 20
 HOT = 64
 TILE = 512
 LONGEST = 4
+LEAST_BITS = 256
 #: Tokens in a bucket, on average, and id lists that are broadcast at most.
 BUCKET, BROADCAST_IDS = 1_000_000, 250_000
 _SALT = np.uint64(0x9FB21C651E98DF25)
@@ -50,15 +57,39 @@ def least_overlap(a, b, percent: int):
     return -(-(percent * (a + b)) // (100 + percent))
 
 
-def fingerprints(keys: np.ndarray, edges: np.ndarray) -> np.ndarray:
+def fingerprints(keys: np.ndarray, edges: np.ndarray, salt: int) -> np.ndarray:
     """A 64-bit fingerprint of each set."""
     sums = np.zeros(len(keys) + 1, np.uint64)
-    np.cumsum(mix64(keys ^ _SALT), out=sums[1:])
+    np.cumsum(mix64(keys ^ (_SALT + np.uint64(2 * salt))), out=sums[1:])
     return mix64((sums[edges[1:]] - sums[edges[:-1]]) ^ np.diff(edges).astype(np.uint64)).view(np.int64)
 
 
-def profile(docs: DataFrame, n: int) -> DataFrame:
-    """Rows (kind 0: id, size, fingerprint of a document) and (kind 1: a repeated shingle, its count, null)."""
+def bitmaps(keys: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """A parity bitmap of each set, of a power of two of bits, some two to four an element: an element turns one bit over."""
+    size = np.diff(edges)
+    bits = np.maximum(LEAST_BITS, 2 ** np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64))
+    first = np.concatenate([[0], np.cumsum(bits)])
+    spot = np.repeat(first[:-1], size) + (keys & np.repeat(bits - 1, size).astype(np.uint64)).astype(np.int64)
+    raw = np.packbits((np.bincount(spot, minlength=int(first[-1])) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [raw[a:b] for a, b in zip((first[:-1] // 8).tolist(), (first[1:] // 8).tolist(), strict=True)]
+
+
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps (rows of 64-bit words) in `width` words: the bitmap of fewer bits is the halves of the longer one turned over."""
+    while bits.shape[1] > width:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def most_apart(a, b, percent: int):
+    """Most elements that only one of two similar sets of these sizes has."""
+    return a + b - 2 * least_overlap(a, b, percent)
+
+
+def profile(docs: DataFrame, n: int, salt: int = 0) -> DataFrame:
+    """Rows (kind 0: id, size, two fingerprints and bitmap of a document) and (kind 1: a repeated shingle, its count, nulls)."""
+    names = ["kind", "id", "n", "fp", "other", "bits"]
 
     def run(batches):
         pending, held = [], 0
@@ -67,24 +98,26 @@ def profile(docs: DataFrame, n: int) -> DataFrame:
             token, count = distinct_counts(np.concatenate(pending) if pending else np.zeros(0, np.uint64))
             often = count >= REPEATED
             k = int(often.sum())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int8)), pa.array(token[often].view(np.int64)), pa.array(count[often]), pa.nulls(k, pa.int64())], names=["kind", "id", "n", "fp"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int8)), pa.array(token[often].view(np.int64)), pa.array(count[often]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names=names)
 
         for batch in batches:
             data, offs = text_arrays(batch.column(1))
-            sizes, prints = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            sizes, prints, others, bits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
             for i, j in blocks(offs):
                 keys, edges = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], n)
                 sizes.append(np.diff(edges))
-                prints.append(fingerprints(keys, edges))
+                prints.append(fingerprints(keys, edges, salt))
+                others.append(fingerprints(keys, edges, salt + (1 << 20)))
+                bits += bitmaps(keys, edges)
                 pending.append(keys)
                 held += len(keys)
                 if held >= CHUNK:
                     yield repeated()
                     pending, held = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int8)), batch.column(0), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(prints))], names=["kind", "id", "n", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int8)), batch.column(0), *(pa.array(np.concatenate(x)) for x in (sizes, prints, others)), pa.array(bits, pa.binary())], names=names)
         yield repeated()
 
-    return docs.mapInArrow(tidy(run), "kind tinyint, id bigint, n bigint, fp bigint")
+    return docs.mapInArrow(tidy(run), "kind tinyint, id bigint, n bigint, fp bigint, other bigint, bits binary")
 
 
 def frequent(counts: DataFrame, most: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +133,7 @@ def frequent(counts: DataFrame, most: int = HEAVY) -> tuple[np.ndarray, np.ndarr
     if found is None:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     table = sums.filter(level >= found).toArrow()
+    forget(sums)
     tokens, n = np.asarray(table.column("id")).view(np.uint64), np.asarray(table.column("n"))
     order = np.argsort(tokens)
     return tokens[order], n[order]
@@ -151,25 +185,25 @@ def prefixes(keys: np.ndarray, edges: np.ndarray, order: TokenOrder, percent: in
     return doc[take], keys[take], place[take], freq[take], ask
 
 
-def prefix_runs(docs: DataFrame, order: TokenOrder, buckets: int, n: int, percent: int) -> DataFrame:
+def prefix_runs(docs: DataFrame, order: TokenOrder, buckets: int, n: int, percent: int, salt: int) -> DataFrame:
     """Prefix tokens by bucket, each class once per task."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
-    schema = "bucket int, token binary, fp binary, size binary, place binary, ask binary, salt binary"
+    schema = "bucket int, token binary, fp binary, size binary, place binary, ask binary, deal binary"
 
     def run(batches):
         order, seen, pending = shared.value, set(), []
 
         def flush():
-            token, fp, size, place, ask, salt = (np.concatenate(x) for x in zip(*pending, strict=True))
-            bucket = (mix64(token + salt.astype(np.uint64) * _SALT) % np.uint64(buckets)).astype(np.int64)
-            rows = list(scatter(bucket, token, fp, size, place, ask, salt))
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows, strict=True))], names=["bucket", "token", "fp", "size", "place", "ask", "salt"])
+            token, fp, size, place, ask, deal = (np.concatenate(x) for x in zip(*pending, strict=True))
+            bucket = (mix64(token + deal.astype(np.uint64) * _SALT) % np.uint64(buckets)).astype(np.int64)
+            rows = list(scatter(bucket, token, fp, size, place, ask, deal))
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows, strict=True))], names=["bucket", "token", "fp", "size", "place", "ask", "deal"])
 
         for batch in batches:
             data, offs = text_arrays(batch.column(0))
             for i, j in blocks(offs):
                 keys, edges = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], n)
-                fp, size = fingerprints(keys, edges), np.diff(edges)
+                fp, size = fingerprints(keys, edges, salt), np.diff(edges)
                 doc, token, place, freq, ask = prefixes(keys, edges, order, percent)
                 fresh = np.zeros(len(size), bool)
                 for k, x in enumerate(fp.tolist()):
@@ -179,8 +213,8 @@ def prefix_runs(docs: DataFrame, order: TokenOrder, buckets: int, n: int, percen
                 keep = np.flatnonzero(fresh[doc])
                 doc, freq = doc[keep], freq[keep]
                 parts = np.where(freq > HOT, -(-freq // TILE), 0)
-                salt = np.where(parts > 0, 1 + fp[doc].view(np.uint64) % np.maximum(parts, 1).astype(np.uint64), 0)
-                pending.append((token[keep], fp[doc], size[doc].astype(np.int32), place[keep].astype(np.int32), ask[doc].astype(np.int8), salt.astype(np.int32)))
+                deal = np.where(parts > 0, 1 + fp[doc].view(np.uint64) % np.maximum(parts, 1).astype(np.uint64), 0)
+                pending.append((token[keep], fp[doc], size[doc].astype(np.int32), place[keep].astype(np.int32), ask[doc].astype(np.int8), deal.astype(np.int32)))
             if sum(len(x[0]) for x in pending) > 500_000:
                 yield flush()
                 pending = []
@@ -195,7 +229,7 @@ def shared_tokens(runs: DataFrame) -> DataFrame:
 
     def meet(table):
         token, fp = gather(table.column("token"), np.uint64), gather(table.column("fp"), np.int64)
-        size, place, ask, salt = (gather(table.column(c), t) for c, t in (("size", np.int32), ("place", np.int32), ("ask", np.int8), ("salt", np.int32)))
+        size, place, ask, salt = (gather(table.column(c), t) for c, t in (("size", np.int32), ("place", np.int32), ("ask", np.int8), ("deal", np.int32)))
         order = np.lexsort((fp, salt, token))
         same = np.zeros(len(order), bool)
         t, f, s = token[order], fp[order], salt[order]
@@ -210,7 +244,7 @@ def shared_tokens(runs: DataFrame) -> DataFrame:
         return pa.table({"token": token[order].view(np.int64), "fp": fp[order], "size": size[order], "place": place[order], "ask": ask[order], "hot": hot})
 
     schema = "token bigint, fp bigint, size int, place int, ask tinyint, hot boolean"
-    return runs.groupBy("bucket").applyInArrow(lambda table: meet(table), schema)
+    return runs.groupBy("bucket").applyInArrow(lambda table: tidied(meet, table), schema)
 
 
 def _tile_links(keys: list[np.ndarray], side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -242,18 +276,64 @@ def _tile_links(keys: list[np.ndarray], side: np.ndarray, percent: int) -> tuple
     return i[good], j[good]
 
 
+def _maybe_similar(bits: list[bytes], size: np.ndarray, percent: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs (a[k], b[k]) may be similar by their bitmaps and sizes, and in how many bits they differ."""
+    width = np.array([len(x) // 8 for x in bits])
+    differ = np.zeros(len(a), np.int64)
+    out = np.minimum(size[a], size[b]) * 100 >= np.maximum(size[a], size[b]) * percent
+    narrow = np.minimum(width[a], width[b])
+    for w in sorted({int(x) for x in narrow[out]}):
+        wide = {int(x): np.flatnonzero(width == x) for x in set(width.tolist()) if x >= w}
+        flat = np.zeros((len(bits), w), np.uint64)
+        for x, own in wide.items():
+            flat[own] = folded(np.frombuffer(b"".join(bits[k] for k in own.tolist()), "<u8").reshape(len(own), x), w)
+        mine = np.flatnonzero(out & (narrow == w))
+        for i in range(0, len(mine), max(1, (1 << 20) // w)):
+            k = mine[i : i + max(1, (1 << 20) // w)]
+            differ[k] = np.bitwise_count(flat[a[k]] ^ flat[b[k]]).sum(axis=1, dtype=np.int64)
+            out[k] = differ[k] <= most_apart(size[a[k]], size[b[k]], percent)
+    return out, differ
+
+
+def cheapest_forest(a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Edges (a[k], b[k]) of a spanning forest of least cost (ties: the first), whose number is below that of the nodes."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, taken = ends[: len(a)], ends[len(a) :], np.zeros(len(a), bool)
+    part = np.arange(len(nodes))
+    while True:
+        live = np.flatnonzero(part[a] != part[b])
+        if not len(live):
+            return np.flatnonzero(taken)
+        live = live[np.argsort(cost[live], kind="stable")]
+        # The cheapest edge that leaves each part.
+        sides, edges = np.concatenate([part[a[live]], part[b[live]]]), np.concatenate([np.arange(len(live))] * 2)
+        best = np.full(len(nodes), len(live))
+        np.minimum.at(best, sides, edges)
+        chosen = live[np.unique(best[best < len(live)])]
+        taken[chosen] = True
+        for x, y in zip(part[a[chosen]].tolist(), part[b[chosen]].tolist(), strict=True):
+            x, y = part[x], part[y]
+            part[part == max(x, y)] = min(x, y)
+
+
 class Join:
     """The stages over one set of documents; every table they leave is in the shared folder."""
 
     def __init__(self, docs: DataFrame, n: int, percent: int, name: str):
         self.docs, self.n, self.percent, self.name = docs, n, percent, name
-        seen = written(profile(docs.select("id", "text"), n), f"{name}-profile")
+        for self.salt in range(16):
+            seen = written(profile(docs.select("id", "text"), n, self.salt), f"{name}-profile")
+            usable = seen.filter("kind = 0 AND n > 0 AND id IS NOT NULL")
+            classes = usable.groupBy("fp").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.min("other").alias("other"), F.max("other").alias("another"))
+            self.classes = written(classes, f"{name}-classes")
+            if self.classes.filter("other <> another").isEmpty():
+                break
+            forget(seen, self.classes)  # unequal sets with one fingerprint: another salt
+        self.seen = seen
         self.sizes = seen.filter("kind = 0").select("id", "n", "fp")
-        total, rows = self.sizes.agg(F.sum("n"), F.count("*")).first()
+        total = self.sizes.agg(F.sum("n")).first()[0]
         self.buckets = max(8, -(-int((total or 0) * (100 - percent + 5) / 100) // BUCKET))
         self.order = TokenOrder(*frequent(seen.filter("kind = 1").select("id", "n")))
-        usable = self.sizes.filter("n > 0 AND id IS NOT NULL")
-        self.classes = usable.groupBy("fp").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
 
     def sets(self, members: DataFrame, carry: list[str]) -> DataFrame:
         """members (fp, carried columns) with `keys`, the set as little-endian 64-bit hashes. One pass over the texts."""
@@ -261,7 +341,7 @@ class Join:
         if known.count() <= BROADCAST_IDS:
             known = F.broadcast(known)
         wanted = self.docs.select("id", "text").join(known, "id").select("fp", *carry, "text")
-        n = self.n
+        n, salt = self.n, self.salt
 
         def run(batches):
             for batch in batches:
@@ -269,7 +349,7 @@ class Join:
                 out, prints = [], [np.zeros(0, np.int64)]
                 for i, j in blocks(offs):
                     keys, edges = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], n)
-                    prints.append(fingerprints(keys, edges))
+                    prints.append(fingerprints(keys, edges, salt))
                     out += [keys[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
                 right = np.concatenate(prints) == np.asarray(batch.column("fp"))
                 columns = [batch.column(k) for k in range(batch.num_columns - 1)]
@@ -293,7 +373,47 @@ class Join:
             tree = spanning_forest(len(fp), i, j)
             return pa.table({"a": fp[i[tree]], "b": fp[j[tree]]})
 
-        return self.sets(members, ["g", "lo", "hi", "part"]).groupBy("g", "lo", "hi").applyInArrow(lambda t: compare(t), "a bigint, b bigint")
+        return self.sets(members, ["g", "lo", "hi", "part"]).groupBy("g", "lo", "hi").applyInArrow(lambda t: tidied(compare, t), "a bigint, b bigint")
+
+    def bit_tiles(self, members: DataFrame, how: str) -> DataFrame:
+        """Pairs (a, b) of members (g, lo, hi, part, fp, c, size) of a tile, of different components (and parts, if there
+        are two), that may be similar by their bitmaps: `every` one, or a forest by `bits` or by `hash`."""
+        percent = self.percent
+
+        def compare(table):
+            fp, part, c, size = (np.asarray(table.column(k)) for k in ("fp", "part", "c", "size"))
+            column = table.column("bits").combine_chunks()
+            bits = [column[k].as_buffer().to_pybytes() for k in range(len(fp))]
+            size = size.astype(np.int64)
+            near = (c[:, None] != c[None, :]) & ((part[:, None] != part[None, :]) | (part.min() == part.max()))
+            a, b = np.nonzero(np.triu(near & (np.minimum(size[:, None], size) * 100 >= np.maximum(size[:, None], size) * percent), 1))
+            if len(a):
+                keep, differ = _maybe_similar(bits, size, percent, a, b)
+                a, b, differ = a[keep], b[keep], differ[keep]
+            if len(a) and how != "every":
+                tree = cheapest_forest(c[a], c[b], differ if how == "bits" else mix64((fp[a] ^ fp[b]).view(np.uint64)))
+                a, b = a[tree], b[tree]
+            a, b = fp[a], fp[b]
+            return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+        found = members.join(self.classes.select("fp", "bits"), "fp").select("g", "lo", "hi", "part", "fp", "c", "size", "bits")
+        return found.groupBy("g", "lo", "hi").applyInArrow(lambda t: tidied(compare, t), "a bigint, b bigint")
+
+    def maybe(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that may be similar by their bitmaps."""
+        percent = self.percent
+        known = lambda s: self.classes.select(F.col("fp").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
+
+        def check(batches):
+            for batch in batches:
+                k = batch.num_rows
+                bits = batch.column("bits_a").to_pylist() + batch.column("bits_b").to_pylist()
+                size = np.concatenate([np.asarray(batch.column("n_a")), np.asarray(batch.column("n_b"))])
+                keep = _maybe_similar(bits, size, percent, np.arange(k), k + np.arange(k))[0] if k else np.zeros(0, bool)
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+
+        both = pairs.join(known("a"), "a").join(known("b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+        return both.mapInArrow(tidy(check), "a bigint, b bigint")
 
     def compatible(self, a: Column, b: Column) -> Column:
         """Whether sizes a <= b can reach the similarity."""
@@ -312,7 +432,7 @@ class Join:
     def links(self) -> DataFrame:
         """Links (a, b) between fingerprints that connect all that are connected, and no others."""
         name, percent = self.name, self.percent
-        runs = prefix_runs(self.docs.select("text"), self.order, self.buckets, self.n, percent)
+        runs = prefix_runs(self.docs.select("text"), self.order, self.buckets, self.n, percent, self.salt)
         shared = written(shared_tokens(runs), f"{name}-shared")
         # Smallest shared token of each class: near copies mostly agree in it.
         first = shared.groupBy("fp").agg(F.min(F.struct(F.xxhash64("token"), "token"))["token"].alias("g"), F.min("size").alias("size"))
@@ -337,17 +457,35 @@ class Join:
         bound = ask + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) - 1
         pairs = left.join(right, "token").filter((F.col("fp_a") < F.col("fp_b")) & (F.col("c_a") != F.col("c_b")) & self.compatible(F.least("size_a", "size_b"), F.greatest("size_a", "size_b")) & (bound >= need))
         pairs = pairs.groupBy(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).agg(F.count("*").alias("met"), F.min(ask - F.least("held_a", "held_b")).alias("asked")).filter("met >= asked").select("a", "b")
-        found = found.unionByName(written(self.verified(written(pairs, f"{name}-pairs")), f"{name}-late"))
-        # Frequent tokens: all tiles of those that join different components.
-        hot = placed.filter("hot")
-        mixed = hot.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.ceil(F.count("*") / (TILE // 2)).cast("int").alias("parts")).filter("x <> y")
-        if not mixed.isEmpty():
-            hot = hot.join(mixed.select("token", "parts"), "token").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-            spread = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            tiles = spread.select(F.col("token").alias("g"), F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "fp")
-            found = found.unionByName(written(self.tiles(tiles), f"{name}-hot"))
+        found = found.unionByName(self.linked(self.maybe(pairs)))
+        frequent = shared.filter("hot").select("token", "fp", "size")
+        news = True
+        for how in ("bits", "hash", "every"):
+            if how == "hash" and not news:  # the components are as they were
+                continue
+            tiles = self.mixed_tiles(frequent, self.mapped(found))
+            if tiles is None:
+                break
+            more = self.linked(self.bit_tiles(tiles, how).distinct())
+            found, news = found.unionByName(more), not more.isEmpty()
+        forget(first, placed)
         return found
 
+    def linked(self, candidates: DataFrame) -> DataFrame:
+        candidates = written(candidates, f"{self.name}-pairs")
+        return written(self.verified(candidates), f"{self.name}-late")
+
+    def mixed_tiles(self, frequent: DataFrame, comps: DataFrame) -> DataFrame | None:
+        """All tiles (g, lo, hi, part, fp, c, size) of the frequent tokens that join different components; None without one."""
+        placed = frequent.join(comps, "fp", "left").withColumn("c", F.coalesce("c", "fp"))
+        mixed = placed.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.ceil(F.count("*") / (TILE // 2)).cast("int").alias("parts")).filter("x <> y")
+        mixed = written(mixed.select("token", "parts"), f"{self.name}-mixed")
+        if mixed.isEmpty():
+            return None
+        dealt = placed.join(mixed, "token").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+        spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return spread.select(F.col("token").alias("g"), F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "fp", "c", "size")
+
     def mapped(self, found: DataFrame) -> DataFrame:
         return components(found, f"{self.name}-c").select(F.col("id").alias("fp"), F.col("component").alias("c"))
 
@@ -379,11 +517,12 @@ def near_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     reps = join.classes.select("fp", "rep")
     edges = by_print.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     # Rows that share a doc_id are one document, whose sets are linked through it.
-    doubled = join.sizes.filter("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.collect_set("fp").alias("fps")).filter("size(fps) > 1").select("id", F.explode("fps").alias("fp"))
-    edges = edges.unionByName(doubled.join(reps, "fp").select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    usable = join.sizes.filter("n > 0 AND id IS NOT NULL")
+    several = usable.groupBy("id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).filter("x <> y").select("id")
+    edges = edges.unionByName(usable.join(several, "id").select("id", "fp").distinct().join(reps, "fp").select(F.col("id").alias("a"), F.col("rep").alias("b")))
     parts = components(edges, f"{name}-all")
-    whole = reps.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    out = join.sizes.join(whole.withColumnRenamed("fp", "f"), (F.col("fp") == F.col("f")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
+    whole = written(reps.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("fp").alias("f"), F.coalesce("component", "rep").alias("component")), f"{name}-whole")
+    out = join.sizes.join(whole, (F.col("fp") == F.col("f")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
