@@ -10,8 +10,10 @@ of each document, end id included), block_ids and block_words (per block: ids he
 64-bit). Rows in order of (part, seq) hold documents in ascending doc_id.
 
 Encoding: a text's words are what its ASCII white space separates; the tokenizer never joins ids across white space, so
-each distinct word is encoded once per worker, and the ids of a text are those of its words. Letters followed by one of
-`. , !` are split there too, as the tokenizer's own pattern does.
+each distinct word is encoded once per worker, and the ids of a text are those of its words. ASCII letters followed by one
+of `. , !` are split there too, as the tokenizer's own pattern does. Words of ASCII bytes alone are folded to lower case
+first; all others reach the tokenizer as they are, since it composes letters and marks before it folds. Texts are encoded
+SLICE bytes at a time, cut between words, so a long text takes no more memory than a short one.
 
 Defined cases: null text: only the end id; null doc_ids come first; equal doc_ids are ordered by text; an empty table
 gives an empty table.
@@ -27,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import _SPACE, blocks, text_arrays, tidy, total_bytes, word_hashes, written
+from ._common import _BYTE_CODE, _LOWER, _SPACE, text_arrays, tidy, total_bytes, word_hashes, written
 
 #: Ids per word and bits per id, by selector 0 to 14.
 COUNTS = (240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2)
@@ -36,13 +38,26 @@ ESCAPE = 15
 BLOCK_IDS = 1024
 #: Words whose ids a worker keeps (some 60 MB).
 CACHE_WORDS = 1_500_000
-#: Bytes of text per output partition.
-PART_BYTES = 48 << 20
+#: Bytes of text that are encoded at once, and that an output partition holds.
+SLICE, PART_BYTES = 1 << 20, 16 << 20
+#: Blocks that are packed at once.
+PACK_BLOCKS = 1024
 FILE_SCHEMA = "part int, seq int, doc_ids array<bigint>, n_tokens array<bigint>, block_ids array<int>, block_words array<bigint>, words binary"
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, ids per block and first word of each block. ids: unsigned 64-bit."""
+    """Words, ids per block and first word of each block. ids: unsigned integers."""
+    words, held, first, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+    for i in range(0, len(ids), PACK_BLOCKS * BLOCK_IDS):
+        w, h, f = _pack_blocks(ids[i : i + PACK_BLOCKS * BLOCK_IDS])
+        words.append(w)
+        held.append(h)
+        first.append(f + at)
+        at += len(w)
+    return np.concatenate(words), np.concatenate(held), np.concatenate(first)
+
+
+def _pack_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids = np.ascontiguousarray(ids, np.uint64)
     n = len(ids)
     blocks = -(-n // BLOCK_IDS)
@@ -137,8 +152,6 @@ def unpack(words: np.ndarray, held: np.ndarray, first: np.ndarray) -> np.ndarray
 
 _STOP = np.isin(np.arange(256), list(b".,!"))
 _LETTER = np.isin(np.arange(256), list(range(65, 91)) + list(range(97, 123)))
-#: Second bytes of the letters À to ÿ.
-_LATIN = np.isin(np.arange(256), [c for c in range(0x80, 0xC0) if c not in (0x97, 0xB7)])
 
 
 def split_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,14 +161,46 @@ def split_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     cut = np.zeros(len(data) + 1, bool)
     cut[offs] = True
     stop = np.flatnonzero(_STOP[data])
-    before = data[np.maximum(stop - 1, 0)]
-    letter = _LETTER[before] | (_LATIN[before] & (data[np.maximum(stop - 2, 0)] == 0xC3))
-    cut[stop[letter & (stop > 0)]] = True
+    cut[stop[_LETTER[data[np.maximum(stop - 1, 0)]] & (stop > 0)]] = True
     starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[:-1]))
     ends = np.flatnonzero(inside[1:-1] & (~inside[2:] | cut[1:])) + 1
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
 
+def slices(data: np.ndarray, offs: np.ndarray):
+    """(first byte, end, first document, end) of slices of about SLICE bytes that end between documents, or between words of
+    a long one (behind a space; a longer word stays whole)."""
+    i, at, n = 0, int(offs[0]), len(offs) - 1
+    while i < n:
+        j = int(np.searchsorted(offs, at + SLICE, "right")) - 1
+        if j > i:
+            yield at, int(offs[j]), i, j
+            i, at = j, int(offs[j])
+            continue
+        end = min(at + SLICE, int(offs[i + 1]))
+        while end < offs[i + 1]:
+            space = np.flatnonzero(_SPACE[data[end : end + SLICE]])
+            end = min(end + (int(space[0]) + 1 if len(space) else SLICE), int(offs[i + 1]))
+            if len(space):
+                break
+        yield at, end, i, i + 1
+        at = end
+        if end == offs[i + 1]:
+            i += 1
+
+
+def folded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lower-cased in the words that hold neither a byte from 0x80 on nor a special token's first sign."""
+    odd = data >= 0x80
+    odd[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)  # <|
+    if not odd.any():
+        return _LOWER[data]
+    many = np.concatenate([[0], np.cumsum(odd)])
+    raw = many[ends] > many[starts]
+    edge = np.bincount(starts[raw], minlength=len(data) + 1) - np.bincount(ends[raw], minlength=len(data) + 1)
+    return np.where(np.cumsum(edge)[:-1] > 0, data, _LOWER[data])
+
+
 class WordEncoder:
     """Encodes texts through their distinct words; ids of words seen before are kept by the words' 64-bit hashes."""
 
@@ -173,9 +218,29 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)  # hashes in order, and where each word's ids begin
-        self.begin, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        # Two tables, the small one of new words: hashes in order, where each word's ids begin, and how many they are.
+        self.tables = [(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))] * 2
+        self.ids, self.held = np.zeros(1 << 16, np.uint32), 0
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of the ids of each word (sorted hashes), -1 for new ones."""
+        begin, length = np.full(len(keys), -1, np.int32), np.zeros(len(keys), np.int32)
+        for known, at, n in self.tables:
+            if len(known):
+                spot = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[spot] == keys
+                begin[hit], length[hit] = at[spot[hit]], n[spot[hit]]
+        return begin, length
+
+    def _learn(self, keys: np.ndarray, begin: np.ndarray, length: np.ndarray) -> None:
+        def joined(a, b):
+            both = [np.concatenate(x) for x in zip(a, b, strict=True)]
+            order = np.argsort(both[0], kind="stable")
+            return tuple(x[order] for x in both)
+
+        self.tables[1] = joined(self.tables[1], (keys, begin, length))
+        if len(self.tables[1][0]) > 20_000 + len(self.tables[0][0]) // 4:
+            self.tables = [joined(*self.tables), (keys[:0], begin[:0], length[:0])]
 
     def _encode_new(self, words: list[str]) -> list[np.ndarray]:
         alone = lambda w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
@@ -195,52 +260,43 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and the number of ids of each text."""
         data, offs = text_arrays(texts)
-        found = [(np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)]
-        for i, j in blocks(offs):
-            part = data[offs[i] : offs[j]]
-            starts, ends, doc = split_words(part, offs[i : j + 1] - offs[i])
-            found.append((word_hashes(part, starts, ends), starts + offs[i], ends + offs[i], doc + i))
-        keys, starts, ends, doc = (np.concatenate(x) for x in zip(*found, strict=True))
-        raw = data.tobytes()
-        # Words that may hold a special token's string are told apart by case: the tokenizer looks for those before it folds.
-        special = self._special(raw, starts, ends)
-        for k in special:
-            word = raw[starts[k] : ends[k]]
-            keys[k] ^= np.uint64(zlib.crc32(word) << 32 | zlib.crc32(word[::-1]))
-        if len(self.known) > CACHE_WORDS:
+        ids, count = [np.zeros(0, np.uint32)], np.zeros(len(offs) - 1, np.int64)
+        for a, b, i, j in slices(data, offs):
+            found, n = self._slice(data[a:b], np.clip(offs[i : j + 1] - a, 0, b - a))
+            ids.append(found)
+            count[i:j] += n
+        return np.concatenate(ids), count
+
+    def _slice(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts, ends, doc = split_words(data, offs)
+        data = folded(data, starts, ends)
+        keys = word_hashes(data, starts, ends, _BYTE_CODE)
+        if sum(len(t[0]) for t in self.tables) > CACHE_WORDS:
             self.forget()
         order = np.argsort(keys)
-        first = order[np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), keys[order][1:] != keys[order][:-1]]))]
-        spot = np.searchsorted(self.known, keys[first])
-        new = first[self.known[np.minimum(spot, len(self.known) - 1)] != keys[first]] if len(self.known) else first
+        keys = keys[order]
+        first = np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]])
+        which = np.empty(len(keys), np.int32)
+        which[order] = np.cumsum(first) - 1
+        keys, sample = keys[first], order[first]
+        begin, length = self._find(keys)
+        new = np.flatnonzero(begin < 0)
         if len(new):
-            words = [raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
-            words = [(w if b"<|" in w else w.lower()).decode("utf-8", "replace") for w in words]  # bytes.lower() is A-Z only
-            pieces = self._encode_new(words)
-            lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-            begins = len(self.ids) + np.cumsum(lengths) - lengths
-            at = np.searchsorted(self.known, keys[new])
-            self.known = np.insert(self.known, at, keys[new])
-            self.begin, self.length = np.insert(self.begin, at, begins), np.insert(self.length, at, lengths)
-            self.ids = np.concatenate([self.ids, *pieces])
-        # Words in the order of their keys meet the known ones in the same order.
-        which = np.empty(len(keys), np.int64)
-        which[order] = np.searchsorted(self.known, keys[order])
-        each = self.length[which]
+            raw = data.tobytes()
+            pieces = self._encode_new([raw[starts[k] : ends[k]].decode("utf-8", "replace") for k in sample[new].tolist()])
+            length[new] = np.fromiter(map(len, pieces), np.int32, len(pieces))
+            begin[new] = self.held + np.cumsum(length[new]) - length[new]
+            fresh = np.concatenate(pieces)
+            if self.held + len(fresh) > len(self.ids):
+                self.ids = np.concatenate([self.ids[: self.held], np.zeros(max(len(self.ids), 2 * len(fresh)), np.uint32)])
+            self.ids[self.held : self.held + len(fresh)] = fresh
+            self.held += len(fresh)
+            self._learn(keys[new], begin[new], length[new])
+        each = length[which].astype(np.int64)
         ends_at = np.cumsum(each)
-        ids = self.ids[np.repeat(self.begin[which] - (ends_at - each), each) + np.arange(int(ends_at[-1]) if len(ends_at) else 0)]
+        ids = self.ids[np.repeat(begin[which] - (ends_at - each), each) + np.arange(int(ends_at[-1]) if len(ends_at) else 0)]
         return ids, np.bincount(doc, each, len(offs) - 1).astype(np.int64)
 
-    @staticmethod
-    def _special(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> list[int]:
-        out, at = [], raw.find(b"<|")
-        while at >= 0:
-            k = int(np.searchsorted(starts, at, "right")) - 1
-            if k >= 0 and at < ends[k]:
-                out.append(k)
-            at = raw.find(b"<|", at + 2)
-        return sorted(set(out))
-
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -260,7 +316,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = 1, doc_id
             _, offs = text_arrays(batch.column("text"))
             i = 0
             while i < batch.num_rows:
-                j = max(i + 1, int(np.searchsorted(offs, offs[i] + (8 << 20), "right")) - 1)
+                j = max(i + 1, int(np.searchsorted(offs, offs[i] + 2 * SLICE, "right")) - 1)
                 ids, n = encoder.encode(batch.column("text").slice(i, j - i))
                 ids, n = with_end(ids, n, end_id)
                 words, held, first = pack(ids)
@@ -320,7 +376,7 @@ def read_tokens(files: DataFrame, with_ids: bool = False) -> DataFrame:
 
 
 def document_starts(files: DataFrame, documents: DataFrame) -> DataFrame:
-    """Adds `start`: ids of all documents before each. Rows of the files (one for 8 MB of text) give the starts of rows; a
+    """Adds `start`: ids of all documents before each. Rows of the files (one for 2 MB of text) give the starts of rows; a
     running sum inside a row gives the rest."""
     rows = files.select("part", "seq", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
     per_part = rows.groupBy("part").agg(F.sum("n").alias("n"))
