@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import _LOWER, blocks, distinct_counts, gather, mix64, scatter, text_arrays, tidy, total_bytes, word_bounds, word_hashes, written
+from ._common import _LOWER, blocks, distinct_counts, gather, mix64, scatter, text_arrays, tidied, tidy, total_bytes, word_bounds, word_hashes, written
 
 ORDER, END = 5, 256
 #: Context bytes that name a bucket.
@@ -36,7 +36,7 @@ NEAR = 3
 #: Bounds of what is broadcast: strings and words.
 NODES, HEAD = 1 << 20, 1 << 20
 #: Symbols counted before a task sends its sums; buckets, at least, and text bytes that a bucket stands for beyond that.
-CHUNK, BUCKETS, BUCKET_BYTES = 24 << 20, 64, 64 << 20
+CHUNK, BUCKETS, BUCKET_BYTES = 6 << 20, 64, 16 << 20
 _TAG = 52  # the order stands above the 49 bits of context and symbol
 
 
@@ -139,7 +139,7 @@ def counted(docs: DataFrame, buckets: int) -> DataFrame:
         return pa.table({"kind": pa.array(np.full(len(keys), kind), pa.int32()), "bucket": pa.array(np.full(len(keys), bucket), pa.int32()), "key": keys.view(np.int64), "n": n, "seen": seen})
 
     rows = docs.mapInArrow(tidy(run), "kind int, bucket int, key binary, n binary")
-    return rows.groupBy("kind", "bucket").applyInArrow(lambda key, table: add(key, table), "kind int, bucket int, key bigint, n bigint, seen double")
+    return rows.groupBy("kind", "bucket").applyInArrow(lambda key, table: tidied(add, key, table), "kind int, bucket int, key bigint, n bigint, seen double")
 
 
 def floor_for(counts: DataFrame, most: int) -> int:
@@ -165,7 +165,7 @@ class HashTable:
 
     def __init__(self, keys: np.ndarray):
         self.source = keys
-        self.bits = max(4, int(4 * max(1, len(keys)) - 1).bit_length())
+        self.bits = max(4, int(2 * max(1, len(keys)) - 1).bit_length())
         self.keys = np.full(1 << self.bits, np.uint64(2**64 - 1))
         self.at = np.full(1 << self.bits, -1, np.int32)
         self.probes = 0
@@ -304,7 +304,7 @@ def looked_up(lookups: DataFrame, strings: DataFrame, buckets: int) -> DataFrame
         return pa.table({"row": rows, "far": found})
 
     sent = lookups.mapInArrow(tidy(spread), "bucket int, base bigint, key binary, row binary")
-    answers = strings.select("bucket", "key", "n").groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(answer, "row bigint, far double")
+    answers = strings.select("bucket", "key", "n").groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(lambda strings, lookups: tidied(answer, strings, lookups), "row bigint, far double")
     return answers.groupBy("row").agg(F.sum("far").alias("far"))
 
 
