@@ -2,19 +2,23 @@
 
 Test items are partitioned by size, [2^j, 2^(j+1)) shingles. An item's signature is the bottom-k MinHash of its shingle
 set; k is one more than the shingles that an item of its partition may lack, so a document that contains at least
-`threshold` of an item must hold one of its signature's values: no item is missed, however long the document. Documents
-too small for a partition skip it. Each candidate pair is verified by exact containment of the shingles' words.
+`threshold` of an item must hold one of its signature's values: no item is missed, however long the document. A partition
+is searched in the documents that have as many shingles as its smallest item needs; the others skip it. Each candidate pair
+is verified by exact containment of the shingles' words.
 
 Words are runs of letters and digits (any non-ASCII character counts as one), A-Z lower-cased; shingles have n words, and
-an item of m < n words has shingles of m. Items come in blocks of BLOCK_ITEMS rows at most, each block's index is broadcast
-and searched in one pass over the documents: no shingle of a document is shuffled.
+an item of m < n words has shingles of m. Distinct item texts come in blocks of BLOCK_ITEMS at most, each block's index is
+broadcast and searched in one pass over the documents: no shingle of a document is shuffled. Hits carry the text's digest;
+a join on it gives the ids of all items with that text.
 
 Defined cases: null or wordless texts and items match nothing; null ids are carried; repeated rows give repeated pairs of
-documents, and equal items are pairs of their own; empty tables give an empty result; other columns do not matter.
+documents, and equal items, however many, are pairs of their own; empty tables give an empty result; other columns do not
+matter, and a column of the documents that has the name of a result's column gives way to it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from fractions import Fraction
@@ -42,54 +46,58 @@ def exact_shingles(text: bytes, n: int) -> set[bytes]:
 
 
 class ItemIndex:
-    """Signatures of a block of items."""
-
-    def __init__(self, items: list[tuple[int | None, str | None]], n: int = SHINGLE, threshold: Fraction = THRESHOLD):
-        self.items, self.threshold = items, threshold
-        texts = [(t or "").encode() for _, t in items]
-        self.length = np.array([min(n, len(_TOKEN.findall(t))) for t in texts], np.int64)
-        self.need = np.zeros(len(items), np.int64)
-        self.exact: list[set[bytes]] = [exact_shingles(t, m) if m else set() for t, m in zip(texts, self.length.tolist(), strict=True)]
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for m in sorted({int(x) for x in self.length if x}):
-            own = np.flatnonzero(self.length == m)
-            hashes, rows = [], []
-            for k in own:
-                raw = np.frombuffer(texts[k], np.uint8)
-                found, _ = shingle_sets(raw, np.array([0, len(raw)]), m, _BREAK)
-                size = len(found)
-                self.need[k] = math.ceil(threshold * size)
-                top = (1 << size.bit_length()) - 1  # the largest size of its partition
-                most_lacking = max(s - math.ceil(threshold * s) for s in (top, size))
-                hashes.append(found[: most_lacking + 1])  # sorted: these are the smallest
-                rows.append(np.full(len(hashes[-1]), k))
-            hashes, rows = np.concatenate(hashes), np.concatenate(rows)
+    """Signatures of a block of distinct item texts, by words of a shingle and by size."""
+
+    def __init__(self, texts: list[str], n: int = SHINGLE, threshold: Fraction = THRESHOLD):
+        self.threshold = threshold
+        raw = [t.encode() for t in texts]
+        self.digest = [hashlib.sha256(t).hexdigest() for t in raw]
+        length = [min(n, len(_TOKEN.findall(t))) for t in raw]
+        self.exact: list[set[bytes]] = [exact_shingles(t, m) if m else set() for t, m in zip(raw, length, strict=True)]
+        classes: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+        for k, m in enumerate(length):
+            if m:
+                data = np.frombuffer(raw[k], np.uint8)
+                found, _ = shingle_sets(data, np.array([0, len(data)]), m, _BREAK)
+                classes.setdefault((m, len(found).bit_length()), []).append((k, found))
+        #: Per words of a shingle: of each size class the shingles its smallest item needs, signature values, items, filter.
+        self.by_length: dict[int, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for (m, level), members in sorted(classes.items()):
+            # The most that an item of the class may lack, at its largest size (and at any below, for rounding).
+            most_lacking = max(s - math.ceil(threshold * s) for s in {(1 << level) - 1, *(len(f) for _, f in members)})
+            hashes = np.concatenate([f[: most_lacking + 1] for _, f in members])  # sorted: these are the smallest
+            rows = np.concatenate([np.full(min(len(f), most_lacking + 1), k) for k, f in members])
             order = np.argsort(hashes, kind="stable")
-            width = max(16, int(len(hashes) * 64).bit_length())
-            seen = np.zeros(1 << width, bool)
-            seen[hashes & np.uint64((1 << width) - 1)] = True
-            self.by_length[m] = (hashes[order], rows[order], seen)
+            seen = np.zeros(1 << max(16, int(len(hashes) * 64).bit_length()), bool)
+            seen[hashes & np.uint64(len(seen) - 1)] = True
+            need = min(math.ceil(threshold * len(f)) for _, f in members)
+            self.by_length.setdefault(m, []).append((need, hashes[order], rows[order], seen))
 
     def search(self, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(document, item, item's shingles, shared) of pairs with enough containment, in a block of documents."""
         out = []
-        for m, (hashes, rows, seen) in self.by_length.items():
-            found, edges = shingle_sets(data, offs, m, _BREAK)
-            maybe = np.flatnonzero(seen[found & np.uint64(len(seen) - 1)])
-            left, right = np.searchsorted(hashes, found[maybe], "left"), np.searchsorted(hashes, found[maybe], "right")
-            hit = right > left
-            maybe, left, right = maybe[hit], left[hit], right[hit]
-            if not len(maybe):
-                continue
-            doc = np.searchsorted(edges, maybe, "right") - 1
-            reps = right - left
-            items = rows[np.repeat(left - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())]
-            pairs = distinct(np.repeat(doc, reps) * len(self.items) + items)
+        for m, classes in self.by_length.items():
+            every, edges = shingle_sets(data, offs, m, _BREAK)
             sizes = np.diff(edges)
-            last, held = -1, set()
-            for d, k in np.stack(np.divmod(pairs, len(self.items)), axis=1).tolist():
-                if sizes[d] < self.need[k]:
+            pairs = [np.zeros(0, np.int64)]
+            for need, hashes, rows, seen in classes:
+                enough = sizes >= need
+                if not enough.any():
                     continue
+                maybe = seen[every & np.uint64(len(seen) - 1)]
+                if not enough.all():
+                    maybe &= np.repeat(enough, sizes)
+                maybe = np.flatnonzero(maybe)
+                left, right = np.searchsorted(hashes, every[maybe], "left"), np.searchsorted(hashes, every[maybe], "right")
+                hit = right > left
+                maybe, left, right = maybe[hit], left[hit], right[hit]
+                if len(maybe):
+                    reps = right - left
+                    items = rows[np.repeat(left - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())]
+                    doc = np.searchsorted(edges, maybe, "right") - 1
+                    pairs.append(distinct(np.repeat(doc, reps) * len(self.exact) + items))
+            last, held = -1, set()
+            for d, k in np.stack(np.divmod(np.sort(np.concatenate(pairs)), max(1, len(self.exact))), axis=1).tolist():
                 if d != last:
                     last, held = d, exact_shingles(data[offs[d] : offs[d + 1]].tobytes(), m)
                 shared = len(self.exact[k] & held)
@@ -98,17 +106,16 @@ class ItemIndex:
         return out
 
 
-def item_blocks(items: DataFrame, item_id: str, item_text: str, n: int, threshold: Fraction) -> list:
-    """Broadcast indexes of at most BLOCK_ITEMS items each."""
-    parts = max(1, -(-items.count() // (BLOCK_ITEMS // 2)))
-    out = []
+def item_blocks(items: DataFrame, item_text: str, n: int, threshold: Fraction):
+    """Broadcast indexes of at most BLOCK_ITEMS distinct texts each, one after another."""
+    texts = items.select(F.col(item_text).alias("text")).filter("text IS NOT NULL").distinct()
+    parts = max(1, -(-texts.count() // (BLOCK_ITEMS // 2)))
     for part in range(parts):
-        block = items if parts == 1 else items.filter(F.pmod(F.xxhash64(item_id, item_text), F.lit(parts)) == part)
-        rows = block.select(F.col(item_id).cast("long"), F.col(item_text)).limit(BLOCK_ITEMS + 1).collect()
-        if len(rows) > BLOCK_ITEMS:
-            raise ValueError("repeated test items overfill a block: remove repeats first")
-        out.append(items.sparkSession.sparkContext.broadcast(ItemIndex([tuple(r) for r in rows], n, threshold)))
-    return out
+        block = texts if parts == 1 else texts.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part)
+        rows = block.limit(2 * BLOCK_ITEMS).collect()  # half of BLOCK_ITEMS is expected, and no text comes twice
+        if len(rows) >= 2 * BLOCK_ITEMS:
+            raise ValueError(f"a block of {parts} holds {2 * BLOCK_ITEMS} test items")
+        yield items.sparkSession.sparkContext.broadcast(ItemIndex([r[0] for r in rows], n, threshold))
 
 
 def batch_hits(index: ItemIndex, texts: pa.Array) -> list[tuple[int, int, int, int]]:
@@ -123,12 +130,13 @@ def batch_hits(index: ItemIndex, texts: pa.Array) -> list[tuple[int, int, int, i
 def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = SHINGLE, threshold: Fraction = THRESHOLD, carry: list[str] | None = None) -> DataFrame:
     """One row for each (document, item) whose containment reaches the threshold: the carried columns (default: doc_id),
     item_id, n_shingles of the item, n_shared and containment."""
-    carry = carry or [doc_id]
+    made = ["item_id", "n_shingles", "n_shared", "containment"]
+    carry = [c for c in carry or [doc_id] if c not in made]
     source = docs.select(*carry, F.col(text).alias("_q_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    schema = f"{kinds}, item_id bigint, n_shingles bigint, n_shared bigint, containment double"
-    results = []
-    for shared in item_blocks(items, item_id, item_text, n, threshold):
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*carry).schema)
+    schema = f"{kinds}_q_item string, n_shingles bigint, n_shared bigint, containment double"
+    hits = None
+    for shared in item_blocks(items, item_text, n, threshold):
 
         def run(batches, shared=shared):
             index = shared.value
@@ -136,23 +144,21 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
                 if found := batch_hits(index, batch.column("_q_text")):
                     d, k, size, both = zip(*found, strict=True)
                     take = pa.array(d, pa.int64())
-                    ids = pa.array([index.items[x][0] for x in k], pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [*(batch.column(c).take(take) for c in range(batch.num_columns - 1)), ids, pa.array(size, pa.int64()), pa.array(both, pa.int64()), pa.array([b / s for b, s in zip(both, size, strict=True)])],
-                        names=[*batch.schema.names[:-1], "item_id", "n_shingles", "n_shared", "containment"],
+                        [*(batch.column(c).take(take) for c in range(batch.num_columns - 1)), pa.array([index.digest[x] for x in k]), pa.array(size, pa.int64()), pa.array(both, pa.int64()), pa.array([b / s for b, s in zip(both, size, strict=True)])],
+                        names=[*batch.schema.names[:-1], "_q_item", "n_shingles", "n_shared", "containment"],
                     )
 
-        results.append(source.mapInArrow(tidy(run), schema))
-    out = results[0]
-    for more in results[1:]:
-        out = out.unionByName(more)
-    return out
+        more = source.mapInArrow(tidy(run), schema)
+        hits = more if hits is None else hits.unionByName(more)
+    named = items.select(F.col(item_id).cast("long").alias("item_id"), F.sha2(F.col(item_text), 256).alias("_q_item"))
+    return hits.join(named, "_q_item").select(*carry, *made)
 
 
 def without_items(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = SHINGLE, threshold: Fraction = THRESHOLD) -> DataFrame:
     """The documents that contain no item, with their columns: one pass for each block of items, no shuffle."""
     place = docs.columns.index(text)
-    for shared in item_blocks(items, item_id, item_text, n, threshold):
+    for shared in item_blocks(items, item_text, n, threshold):
 
         def run(batches, shared=shared):
             for batch in batches:
