@@ -9,8 +9,8 @@ fixed hash order by one fold over those rows, which finds when each shard fills;
 to know. A slice in which a shard fills is cut by a running sum inside the slice. No step holds rows of a whole shard.
 
 Defined cases: a null text has size 1; a row with a null doc_id is placed by its text; rows with equal ids share a place on
-the ring and may be cut apart only by capacity; an empty table gives an empty result; other columns pass through, and the
-working columns begin with `_q_`.
+the ring and may be cut apart only by capacity; an empty table gives an empty result; other columns pass through, columns
+`shard` and `slot` of the input give way to the results, and the working columns begin with `_q_`.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ def shard(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str =
     most one apart, more slack moves fewer keys when shards are added.
     """
     spark = docs.sparkSession
+    docs = docs.drop("shard", "slot", "_q_size")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
     place = F.when(F.col(doc_id).isNull(), F.xxhash64(F.lit("text"), F.col(text))).otherwise(F.xxhash64(F.lit("key"), F.col(doc_id)))
     rows = docs.withColumns({"_q_size": size, "_q_place": place, "_q_slice": F.pmod(place, F.lit(slices))})
