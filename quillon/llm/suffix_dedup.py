@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import _powers, distinct, expand, gather, mix64, scatter, squeeze, text_arrays, tidy, total_bytes
+from ._common import _powers, distinct, expand, gather, mix64, scatter, squeeze, text_arrays, tidied, tidy, total_bytes
 
 WINDOW, GRAM = 50, 24
 LEFT = WINDOW - GRAM
@@ -37,6 +37,8 @@ WIDE = WINDOW + 1 + LEFT
 GROUP_BYTES = 8 << 20
 #: Bytes of texts looked at once, and anchors that a task holds before it sends them.
 BLOCK, PENDING = 1 << 18, 1_000_000
+#: Suffixes whose entries are made at once.
+SLICE = 1 << 15
 #: Bits of an anchor's hash that are sent; the bucket is told by others.
 KEY_BITS = 40
 _CODE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64)
@@ -62,10 +64,18 @@ def gram_hashes(data: np.ndarray, n: int = GRAM) -> np.ndarray:
     return mix64((sums[n:] - sums[:-n]) * inverse[: len(data) - n + 1])
 
 
-def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, hash, document) of the anchors: the places of the smallest hash of each window (all places that tie)."""
-    if len(data) < WINDOW:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def anchors(data: np.ndarray, offs: np.ndarray):
+    """(position, hash, document) of the anchors, a block at a time: the places of the smallest hash of each window (all
+    places that tie). Where blocks of a long text meet, a place may come twice."""
+    step = BLOCK - WINDOW
+    for w in range(0, len(data) - WINDOW + 1, step):
+        end = min(len(data), w + BLOCK - 1)
+        edges = np.concatenate([[w], offs[np.searchsorted(offs, w, "right") : np.searchsorted(offs, end, "left")], [end]])
+        at, hashes = _anchors(data[w:end], edges - w)
+        yield at + w, hashes, np.searchsorted(offs, at + w, "right") - 1
+
+
+def _anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     hashes = gram_hashes(data)
     many = WINDOW - GRAM + 1
     low, width = hashes, 1
@@ -85,7 +95,7 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         most = np.maximum(most[:-step], most[step:])
         width += step
     at = np.flatnonzero(most[: len(hashes)] == hashes)
-    return at, hashes[at], np.searchsorted(offs, at, "right") - 1
+    return at, hashes[at]
 
 
 def anchor_runs(docs: DataFrame, buckets: int) -> DataFrame:
@@ -118,13 +128,13 @@ def anchor_runs(docs: DataFrame, buckets: int) -> DataFrame:
             data, offs = text_arrays(batch.column("text"))
             groups = np.asarray(batch.column("grp"))
             for i, j in text_blocks(offs):
-                at, hashes, doc = anchors(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                if len(at):
-                    pending.append((hashes, groups[i + doc], doc + (doc_at + i)))
-                    held += len(at)
-                if held > PENDING:
-                    yield flush()
-                    pending, held = [], 0
+                for at, hashes, doc in anchors(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]):
+                    if len(at):
+                        pending.append((hashes, groups[i + doc], doc + (doc_at + i)))
+                        held += len(at)
+                    if held > PENDING:
+                        yield flush()
+                        pending, held = [], 0
             doc_at += batch.num_rows
         if pending:
             yield flush()
@@ -153,7 +163,7 @@ def shared_anchors(runs: DataFrame) -> DataFrame:
         rows = list(scatter(group[keep], keys[keep]))
         return pa.table({"grp": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([key[0].as_py()] * len(rows), pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary())})
 
-    return runs.groupBy("bucket").applyInArrow(lambda key, table: meet(key, table), "grp int, bucket int, keys binary")
+    return runs.groupBy("bucket").applyInArrow(lambda key, table: tidied(meet, key, table), "grp int, bucket int, keys binary")
 
 
 # Suffix runs -----------------------------------------------------------------------------------------------------------
@@ -173,6 +183,30 @@ def suffix_entries(data: np.ndarray, offs: np.ndarray, at: np.ndarray, doc: np.n
     return table, WINDOW + 1 + left
 
 
+def once(table: np.ndarray, doc: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block's entries, each once a document: their rows, how many ranges of places each has, and the ranges' first and
+    last places. Places of a range are at most WINDOW apart, so the windows on them leave no gap. Runs of one byte, or of a
+    few that repeat, thus cost an entry or two."""
+    spot = np.arange(len(at))
+    if len(distinct(hashes ^ mix64(doc.astype(np.uint64)))) > len(at) // 2:  # few repeats at most: each is its own entry
+        return spot, np.ones(len(at), np.int64), at, at
+    wide = np.ascontiguousarray(np.concatenate([doc.astype(">u4").view(np.uint8).reshape(-1, 4), table], axis=1))
+    order = np.argsort(wide.view(f"S{wide.shape[1]}").ravel(), kind="stable")
+    wide, place = wide[order], at[order]
+    entry = np.concatenate([[True], (wide[1:] != wide[:-1]).any(axis=1)])
+    begin = entry | np.concatenate([[True], np.diff(place) > WINDOW])
+    first = np.flatnonzero(begin)
+    last = np.append(first[1:], len(place)) - 1
+    return order[entry], np.add.reduceat(begin.astype(np.int64), np.flatnonzero(entry)), place[first], place[last]
+
+
+def spread(many: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of lists of `many` items laid end to end: the items of lists k, and for each the place in k of its list."""
+    reps = many[k]
+    begin = (np.cumsum(many) - many)[k]
+    return np.repeat(begin - (np.cumsum(reps) - reps), reps) + np.arange(int(reps.sum())), np.repeat(np.arange(len(k)), reps)
+
+
 def front_code(table: np.ndarray, size: np.ndarray) -> tuple[bytes, bytes]:
     """Of sorted entries: (common prefix with the entry before, rest's length) pairs, and the rests."""
     place = np.arange(table.shape[1])
@@ -274,18 +308,23 @@ def suffix_runs(docs: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
         found = []
         for i, j in text_blocks(offs) if len(shared) else ():
             base = int(offs[i])
-            at, hashes, doc = anchors(data[base : offs[j]], offs[i : j + 1] - base)
-            bucket = (hashes >> np.uint64(KEY_BITS)) % np.uint64(buckets)
-            short = (hashes & np.uint64((1 << KEY_BITS) - 1)) | (bucket << np.uint64(KEY_BITS))
-            spot = np.minimum(np.searchsorted(shared, short), len(shared) - 1)
-            hit = shared[spot] == short
-            found.append((at[hit] + base, bucket[hit].astype(np.int64), doc[hit] + i))
+            for at, hashes, doc in anchors(data[base : offs[j]], offs[i : j + 1] - base):
+                bucket = (hashes >> np.uint64(KEY_BITS)) % np.uint64(buckets)
+                short = (hashes & np.uint64((1 << KEY_BITS) - 1)) | (bucket << np.uint64(KEY_BITS))
+                spot = np.minimum(np.searchsorted(shared, short), len(shared) - 1)
+                hit = np.flatnonzero(shared[spot] == short)
+                for k in (hit[x : x + SLICE] for x in range(0, len(hit), SLICE)):
+                    table, size = suffix_entries(data, offs, at[k] + base, doc[k] + i)
+                    rows, many, first, last = once(table, doc[k], hashes[k], at[k] + base)
+                    found.append((table[rows], size[rows], bucket[k][rows].astype(np.int64), doc[k][rows] + i, many, first, last))
         names = ("kind", "target", "head", "rest", "a", "b", "c")
-        if not found or not sum(len(x[0]) for x in found):
+        if not found:
             return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int8(), pa.int32(), *[pa.binary()] * 5), strict=True)})
-        at, bucket, doc = (np.concatenate(x) for x in zip(*found, strict=True))
-        table, size = suffix_entries(data, offs, at, doc)
-        own, length, who, row = at - offs[doc], (offs[1:] - offs[:-1])[doc], ids[doc], rows_of[doc]
+        table, size, bucket, doc, many, first_at, last_at = (np.concatenate(x) for x in zip(*found, strict=True))
+        del found
+        in_doc = np.repeat(offs[doc], many)
+        first_at, last_at = first_at - in_doc, last_at - in_doc
+        length, who, row = (offs[1:] - offs[:-1])[doc], ids[doc], rows_of[doc]
         # In order of bucket, entry and id: one sort of byte strings.
         wide = np.concatenate([bucket.astype(">u4").view(np.uint8).reshape(-1, 4), table, (who.view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)], axis=1)
         order = np.argsort(np.ascontiguousarray(wide).view(f"S{wide.shape[1]}").ravel(), kind="stable")
@@ -294,9 +333,10 @@ def suffix_runs(docs: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
         first = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
         # The same bytes around the anchor as in a smaller document: all windows on it are repeats.
         again = who[order] != who[first]
-        k = order[again]
-        lo, hi = np.maximum(0, own[k] - LEFT), np.minimum(own[k] + WINDOW, length[k])
-        full = hi - lo >= WINDOW
+        item, k = spread(many, order[again])
+        k = order[again][k]
+        lo, hi = np.maximum(0, first_at[item] - LEFT), np.minimum(last_at[item] + WINDOW, length[k])
+        full = hi - lo - (last_at[item] - first_at[item]) >= WINDOW
         rows = []
         if full.any():
             r, lo, hi = union_spans(row[k][full], lo[full], hi[full])
@@ -307,20 +347,25 @@ def suffix_runs(docs: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
             k = kept[x:y]
             docs_here = distinct(doc[k])
             named = np.concatenate([ids[docs_here], rows_of[docs_here]]).astype("<i8").tobytes()
-            parts = (*front_code(table[k], size[k]), named, np.searchsorted(docs_here, doc[k]).astype("<u4").tobytes(), own[k].astype("<i8").tobytes())
-            rows.append((0, int(bucket[k[0]]), *map(squeeze, parts)))
+            item, _ = spread(many, k)
+            which = np.concatenate([np.searchsorted(docs_here, doc[k]), many[k]]).astype("<u4").tobytes()
+            ranges = np.concatenate([first_at[item], last_at[item] - first_at[item]]).astype("<i8").tobytes()
+            rows.append((0, int(bucket[k[0]]), *map(squeeze, (*front_code(table[k], size[k]), named, which, ranges))))
         kinds = (pa.int8(), pa.int32(), *[pa.binary()] * 5)
         return pa.table({n: pa.array(c, t) for n, t, c in zip(names, kinds, zip(*rows, strict=True), strict=True)})
 
     left, right = docs.groupBy("grp"), answers.groupBy("grp")
-    return left.cogroup(right).applyInArrow(lambda key, a, b: cut(key, a, b), "kind tinyint, target int, head binary, rest binary, a binary, b binary, c binary")
+    return left.cogroup(right).applyInArrow(lambda key, a, b: tidied(cut, key, a, b), "kind tinyint, target int, head binary, rest binary, a binary, b binary, c binary")
 
 
-def repeated_windows(entries: list[bytes], lcps: list[int], ids: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans (row, begin, end) of windows that a smaller document has too, of sorted suffixes and their common prefixes."""
+def repeated_windows(entries: list[bytes], lcps: list[int], ids: np.ndarray, row: np.ndarray, many: np.ndarray, begin: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (row, begin, end) of windows that a smaller document has too, of sorted suffixes and their common prefixes.
+    many, begin: an entry's ranges of places, and where they begin in first and last."""
     m = len(entries)
     table = np.frombuffer(b"".join(e.ljust(WIDE, b"\0") for e in entries), np.uint8).reshape(m, WIDE)
     right, left = table[:, WINDOW].astype(np.int64), np.array([len(e) for e in entries]) - WINDOW - 1
+    sides = np.zeros((m, 32), np.uint8)
+    sides[:, :LEFT] = table[:, WINDOW + 1 :]
     lcp = np.array(lcps)
     gone = np.zeros((m, LEFT + 3), bool)
     hashed = np.zeros(m, np.uint64)
@@ -334,14 +379,29 @@ def repeated_windows(entries: list[bytes], lcps: list[int], ids: np.ndarray, row
         group = np.cumsum(np.concatenate([[True], lcp[1:] < WINDOW - o])).astype(np.uint64)
         key = mix64(group[fits] * np.uint64(0x9FB21C651E98DF25) + hashed[fits])
         order = np.argsort(key)
-        k, who = key[order], ids[fits[order]]
-        first = np.concatenate([[True], k[1:] != k[:-1]])
-        smallest = np.minimum.reduceat(who, np.flatnonzero(first))[np.cumsum(first) - 1]
-        gone[fits[order[who > smallest]], o + 1] = True
+        k = key[order]
+        first_of = np.concatenate([[True], k[1:] != k[:-1]])
+        # Equal hashes are held against the bytes; should they differ, the bytes themselves are sorted.
+        own = fits[order]
+        words = sides[own, : -(-o // 8) * 8].copy()
+        words[:, o:] = 0
+        words = words.view("<u8")
+        differ = (group[own][1:] != group[own][:-1]) | (words[1:] != words[:-1]).any(axis=1)
+        if (differ & ~first_of[1:]).any():
+            order = np.lexsort((*sides[fits, :o].T, group[fits])) if o else np.argsort(group[fits], kind="stable")
+            own = fits[order]
+            differ = (group[own][1:] != group[own][:-1]) | (sides[own, :o][1:] != sides[own, :o][:-1]).any(axis=1)
+            first_of = np.concatenate([[True], differ])
+        who = ids[own]
+        smallest = np.minimum.reduceat(who, np.flatnonzero(first_of))[np.cumsum(first_of) - 1]
+        gone[own[who > smallest], o + 1] = True
     # Runs of neighbouring windows of a suffix are one span.
     k, lo = np.nonzero(gone[:, 1:] & ~gone[:, :-1])
     _, hi = np.nonzero(gone[:, :-1] & ~gone[:, 1:])
-    return union_spans(row[k], at[k] - (hi - 1), at[k] - lo + WINDOW)
+    reps = many[k]
+    item = np.repeat(begin[k] - (np.cumsum(reps) - reps), reps) + np.arange(int(reps.sum()))
+    k, lo, hi = (np.repeat(x, reps) for x in (k, lo, hi))
+    return union_spans(row[k], first[item] - (hi - 1), last[item] - lo + WINDOW)
 
 
 def union_spans(who: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -367,24 +427,28 @@ def merged_spans(runs: DataFrame, groups: int) -> DataFrame:
     def merge(key, table):
         if key[0].as_py():
             return table.select(["target", "a", "b", "c"])
-        lists, ids, row, at = [], [], [], []
+        lists, ids, row, many, first, last = [], [], [], [], [], []
         for line in table.to_pylist():
             head = expand(line["head"])
             lists.append((front_decode(head, expand(line["rest"])), list(head[::2])))
-            named, which = np.frombuffer(expand(line["a"]), "<i8").reshape(2, -1), np.frombuffer(expand(line["b"]), "<u4")
+            named, (which, ranges) = np.frombuffer(expand(line["a"]), "<i8").reshape(2, -1), np.frombuffer(expand(line["b"]), "<u4").reshape(2, -1)
             ids.append(named[0][which])
             row.append(named[1][which])
-            at.append(np.frombuffer(expand(line["c"]), "<i8"))
+            many.append(ranges.astype(np.int64))
+            at, more = np.frombuffer(expand(line["c"]), "<i8").reshape(2, -1)
+            first.append(at)
+            last.append(at + more)
         order, lcps = merge_runs(lists)
         entries = [lists[r][0][p] for r, p in order]
         begins = np.cumsum([0, *(len(x[0]) for x in lists)])
         flat = np.array([begins[r] + p for r, p in order], np.int64)
-        row, a, b = repeated_windows(entries, lcps, *(np.concatenate(x)[flat] for x in (ids, row, at)))
+        many = np.concatenate(many)
+        row, a, b = repeated_windows(entries, lcps, *(np.concatenate(x)[flat] for x in (ids, row)), many[flat], (np.cumsum(many) - many)[flat], np.concatenate(first), np.concatenate(last))
         rows = list(scatter(row % groups, row.astype("<i8"), a.astype("<i8"), b.astype("<i8")))
         out = list(zip(*rows, strict=True)) or [(), (), (), ()]
         return pa.table({n: pa.array(c, pa.int32() if n == "target" else pa.binary()) for n, c in zip(("target", "a", "b", "c"), out, strict=True)})
 
-    return runs.groupBy("kind", "target").applyInArrow(lambda key, table: merge(key, table), "target int, a binary, b binary, c binary")
+    return runs.groupBy("kind", "target").applyInArrow(lambda key, table: tidied(merge, key, table), "target int, a binary, b binary, c binary")
 
 
 def kept_bytes(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -413,7 +477,7 @@ def kept_bytes(docs: DataFrame, spans: DataFrame) -> DataFrame:
         return pa.table({"doc_id": texts.column("doc_id"), "kept": pa.array(pieces, pa.binary()), "n_bytes": np.diff(offs), "n_removed": total[offs[1:]] - total[offs[:-1]], "n_spans": runs[offs[1:]] - runs[offs[:-1]]})
 
     left, right = docs.groupBy("grp"), spans.groupBy("grp")
-    return left.cogroup(right).applyInArrow(lambda a, b: cut(a, b), "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
+    return left.cogroup(right).applyInArrow(lambda a, b: tidied(cut, a, b), "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
