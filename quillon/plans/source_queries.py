@@ -58,7 +58,7 @@ def calendar_entries(spark, sf_dir):
     "place_rooms",
     """
 WITH p AS (SELECT p_partkey, p_size AS n, upper(substr(p_name, 1, 1)) || substr(p_name, 2) AS name, p_partkey % 8 AS kind FROM part)
-SELECT p_partkey, CASE kind WHEN 0 THEN 'numeric_run' WHEN 1 THEN 'number_run' WHEN 2 THEN 'letter_run' WHEN 3 THEN 'letters_together' WHEN 4 THEN 'number_letters' WHEN 5 THEN 'slash_list' WHEN 6 THEN 'word_pair' ELSE 'plain' END AS rule,
+SELECT p_partkey, CASE kind WHEN 0 THEN 'numbers' WHEN 1 THEN 'named numbers' WHEN 2 THEN 'letters' WHEN 3 THEN 'joined letters' WHEN 4 THEN 'numbered letters' WHEN 5 THEN 'choices' WHEN 6 THEN 'words' ELSE 'plain' END AS rule,
  CASE kind WHEN 0 THEN 'A' || (100 + n) || ',A' || (101 + n) || ',A' || (102 + n) WHEN 1 THEN name || ' ' || n || ',' || name || ' ' || (n + 1) WHEN 2 THEN name || ' C,' || name || ' D,' || name || ' E'
  WHEN 3 THEN name || ' F,' || name || ' G' WHEN 4 THEN n || 'B,' || n || 'C' WHEN 5 THEN name || ' B,' || name || ' 7' WHEN 6 THEN name || ' North,' || name || ' South' ELSE name END AS rooms FROM p
 """,
@@ -74,6 +74,36 @@ def place_rooms(spark, sf_dir):
     return said.select("p_partkey", places.read_place(F.col("place")).alias("r")).select("p_partkey", "r.rule", F.array_join("r.rooms", ",").alias("rooms"))
 
 
+_FILE = [("L1", 1, str(n)) for n in range(101, 107)] + [("L2", 2, f"Salon {x}") for x in "ABCD"] + [("L3", 3, r) for r in ("Hall I", "Hall II", "Hall III", "Atrium")]
+#: How customers name places, the reading that is expected, its level and its rooms.
+_SAID = [
+    ("Atrium", "room", "L3", "Atrium"), ("102-104", "numbers", "L1", "102,103,104"), ("Salon A-C", "letters", "L2", "Salon A,Salon B,Salon C"), ("Salon BD", "joined letters", "L2", "Salon B,Salon D"),
+    ("Hall I-III", "roman", "L3", "Hall I,Hall II,Hall III"), ("The Atrium", "no article, room", "L3", "Atrium"), ("Salon", "partitions", "L2", "Salon A,Salon B,Salon C,Salon D"), ("2nd floor", "floor", "L2", None),
+    ("Atrium by the stairs", "note", "L3", "Atrium"), ("Den", "alias", "L3", "Atrium"), ("", "hotel", None, None), ("101-109", "unplaced", None, None), ("Salon Salon A/D", "said once, choices", "L2", "Salon A,Salon D"),
+]
+
+
+def named_places(spark, sf_dir):
+    """Where customers say they are, in words that a file of their nation's rooms explains."""
+    said = F.array(*[F.lit(s[0]) for s in _SAID])
+    hotels = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("hotel"))
+    asked = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.get(said, (F.col("c_custkey") % len(_SAID)).cast("int")).alias("said")).join(F.broadcast(hotels), "c_nationkey")
+    file = spark.createDataFrame(_FILE, "level string, floor int, room string")
+    return asked, hotels.select("hotel").crossJoin(file), hotels.select("hotel", F.lit("Den").alias("alias"), F.array(F.lit("Atrium")).alias("rooms"))  # 25 nations
+
+
+@query("places_on_file", "WITH said(k, rule, level, rooms) AS (VALUES " + ", ".join("(%d, '%s', %s, %s)" % (k, rule, f"'{level}'" if level else "NULL", f"'{rooms}'" if rooms else "NULL") for k, (_, rule, level, rooms) in enumerate(_SAID)) + f") SELECT c_custkey AS id, rule, level, rooms FROM customer JOIN said ON c_custkey % {len(_SAID)} = k")
+def places_on_file(spark, sf_dir):
+    asked, rooms, aliases = named_places(spark, sf_dir)
+    return places.on_file(asked, rooms, aliases, "c_custkey", "hotel", "said").withColumn("rooms", F.array_join("rooms", ","))
+
+
+@query("place_tallies", "WITH said(k, rule) AS (VALUES " + ", ".join("(%d, '%s')" % (k, s[1]) for k, s in enumerate(_SAID)) + f") SELECT n_name AS hotel, rule, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN said ON c_custkey % {len(_SAID)} = k GROUP BY ALL")
+def place_tallies(spark, sf_dir):
+    asked, rooms, aliases = named_places(spark, sf_dir)
+    return places.tallies(places.on_file(asked, rooms, aliases, "c_custkey", "hotel", "said"), asked.select(F.col("c_custkey").alias("id"), "hotel"))
+
+
 @query("timeline_columns")
 def timeline_columns(spark, sf_dir):
     return layout.packed_columns(spans(spark, sf_dir), "user_id", "event_id", "s", "e")

@@ -60,9 +60,12 @@ def test_calendar_leaves_out_nulls(spark):
 @pytest.mark.parametrize(
     ("place", "rule", "rooms"),
     [
-        ("209-211", "numeric_run", ["209", "210", "211"]), ("099-101", "numeric_run", ["099", "100", "101"]), ("209-290", "plain", ["209-290"]), ("A1-B2", "plain", ["A1-B2"]),
-        ("Hall C-E", "letter_run", ["Hall C", "Hall D", "Hall E"]), ("Hall H-I-J", "letter_run", ["Hall H", "Hall I", "Hall J"]), ("Hall E-C", "plain", ["Hall E-C"]),
-        ("Hall BA", "plain", ["Hall BA"]), ("99999999999-99999999999", "plain", ["99999999999-99999999999"]), ("", "plain", [""]), (None, None, None),
+        ("31-33", "numbers", ["31", "32", "33"]), ("098-100", "numbers", ["098", "099", "100"]), ("K7-K9", "numbers", ["K7", "K8", "K9"]), ("31-90", "plain", ["31-90"]), ("K1-L2", "plain", ["K1-L2"]), ("8-11", "plain", ["8-11"]),
+        ("Quay 8-11", "named numbers", ["Quay 8", "Quay 9", "Quay 10", "Quay 11"]), ("Quay 9-8", "plain", ["Quay 9-8"]),
+        ("Loft P - R", "letters", ["Loft P", "Loft Q", "Loft R"]), ("Loft K-L-M", "letters", ["Loft K", "Loft L", "Loft M"]), ("Loft R-P", "plain", ["Loft R-P"]), ("Loft L-K-M", "plain", ["Loft L-K-M"]),
+        ("Dock II-IV", "roman", ["Dock II", "Dock III", "Dock IV"]), ("Loft MN", "joined letters", ["Loft M", "Loft N"]), ("Loft NM", "plain", ["Loft NM"]), ("52KL", "numbered letters", ["52K", "52L"]),
+        ("Loft M/4", "choices", ["Loft M", "Loft 4"]), ("Big Loft East-West", "words", ["Big Loft East", "Big Loft West"]), ("Loft M/4-5", "plain", ["Loft M/4-5"]),
+        ("99999999999-99999999999", "plain", ["99999999999-99999999999"]), ("", "plain", [""]), (None, None, None),
     ],
 )
 def test_place_rules(spark, place, rule, rooms):
