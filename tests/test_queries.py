@@ -9,7 +9,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).parents[1]))
 
-from quillon.plans import catalog, event_queries, report_queries, schedule_queries, source_queries, text_queries  # noqa: E402, F401
+from quillon.plans import catalog, registered  # noqa: E402, F401
 
 
 def plain(v):
