@@ -17,9 +17,10 @@ Steps:
 4. Pairs from different components that share enough prefix tokens are candidates. A candidate whose bitmaps differ in more
    bits than the sets may differ in elements cannot be similar (equal elements cancel out, so every bit that differs stands
    for an element of one set alone); all others are verified by their sets.
-5. Tokens of more than HOT classes do not emit pairs: their classes are compared tile by tile, by bitmap, unless one
-   component holds them all. Of a tile's candidates first only a forest that would connect its components is verified, by
-   the fewest bits that differ, then one by another order, and at last all that still join different components.
+5. Tokens of more than HOT classes do not emit pairs: their classes are compared in tiles, by bitmap, unless one component
+   holds them all. First in tiles that each class enters once, dealt by chance in two ways; of a tile's candidates only a
+   forest that would connect its components is verified. Then exactly: classes outside a token's largest component meet
+   all its classes of like size, and every candidate that still joins different components is verified.
 Only links that connect are kept; connected components give the result.
 
 Defined cases: null, empty or wordless texts have no shingles and link with nothing; fewer than n words: the whole sequence
@@ -29,6 +30,8 @@ tables give an empty result; other columns do not matter.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -375,29 +378,33 @@ class Join:
 
         return self.sets(members, ["g", "lo", "hi", "part"]).groupBy("g", "lo", "hi").applyInArrow(lambda t: tidied(compare, t), "a bigint, b bigint")
 
-    def bit_tiles(self, members: DataFrame, how: str) -> DataFrame:
-        """Pairs (a, b) of members (g, lo, hi, part, fp, c, size) of a tile, of different components (and parts, if there
-        are two), that may be similar by their bitmaps: `every` one, or a forest by `bits` or by `hash`."""
+    def bit_tiles(self, members: DataFrame, every: bool) -> DataFrame:
+        """Pairs (a, b) of members (g, x, y, z, probe, fp, c, size) of a tile that are of different components and may be
+        similar by their bitmaps: with `every` all of a probe and another member, else a forest of all members."""
         percent = self.percent
 
         def compare(table):
-            fp, part, c, size = (np.asarray(table.column(k)) for k in ("fp", "part", "c", "size"))
+            fp, probe, c, size = (np.asarray(table.column(k)) for k in ("fp", "probe", "c", "size"))
             column = table.column("bits").combine_chunks()
             bits = [column[k].as_buffer().to_pybytes() for k in range(len(fp))]
             size = size.astype(np.int64)
-            near = (c[:, None] != c[None, :]) & ((part[:, None] != part[None, :]) | (part.min() == part.max()))
-            a, b = np.nonzero(np.triu(near & (np.minimum(size[:, None], size) * 100 >= np.maximum(size[:, None], size) * percent), 1))
-            if len(a):
-                keep, differ = _maybe_similar(bits, size, percent, a, b)
-                a, b, differ = a[keep], b[keep], differ[keep]
-            if len(a) and how != "every":
-                tree = cheapest_forest(c[a], c[b], differ if how == "bits" else mix64((fp[a] ^ fp[b]).view(np.uint64)))
+            rows, columns = (np.flatnonzero(probe), np.flatnonzero(~probe)) if every else (np.arange(len(fp)),) * 2
+            found = [(np.zeros(0, np.int64),) * 3]
+            for i in range(0, len(rows), TILE):
+                r = rows[i : i + TILE]
+                like = np.minimum(size[r][:, None], size[columns]) * 100 >= np.maximum(size[r][:, None], size[columns]) * percent
+                a, b = np.nonzero(like & (c[r][:, None] != c[columns]) & (every | (r[:, None] < columns)))
+                a, b = r[a], columns[b]
+                keep, differ = _maybe_similar(bits, size, percent, a, b) if len(a) else (np.zeros(0, bool), np.zeros(0, np.int64))
+                found.append((a[keep], b[keep], differ[keep]))
+            a, b, differ = (np.concatenate(x) for x in zip(*found, strict=True))
+            if len(a) and not every:
+                tree = cheapest_forest(c[a], c[b], differ)
                 a, b = a[tree], b[tree]
-            a, b = fp[a], fp[b]
-            return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            return pa.table({"a": np.minimum(fp[a], fp[b]), "b": np.maximum(fp[a], fp[b])})
 
-        found = members.join(self.classes.select("fp", "bits"), "fp").select("g", "lo", "hi", "part", "fp", "c", "size", "bits")
-        return found.groupBy("g", "lo", "hi").applyInArrow(lambda t: tidied(compare, t), "a bigint, b bigint")
+        found = members.join(self.classes.select("fp", "bits"), "fp").select("g", "x", "y", "z", "probe", "fp", "c", "size", "bits")
+        return found.groupBy("g", "x", "y", "z").applyInArrow(lambda t: tidied(compare, t), "a bigint, b bigint")
 
     def maybe(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that may be similar by their bitmaps."""
@@ -460,31 +467,41 @@ class Join:
         found = found.unionByName(self.linked(self.maybe(pairs)))
         frequent = shared.filter("hot").select("token", "fp", "size")
         news = True
-        for how in ("bits", "hash", "every"):
-            if how == "hash" and not news:  # the components are as they were
+        for turn in range(0 if frequent.isEmpty() else 3):
+            if turn == 1 and not news:  # the components are as they were
                 continue
-            tiles = self.mixed_tiles(frequent, self.mapped(found))
-            if tiles is None:
-                break
-            more = self.linked(self.bit_tiles(tiles, how).distinct())
+            placed = written(frequent.join(self.mapped(found), "fp", "left").withColumn("c", F.coalesce("c", "fp")), f"{name}-placed")
+            members = self.dealt(placed, turn) if turn < 2 else self.crossed(placed)
+            more = self.linked(self.bit_tiles(members, turn == 2).distinct())
             found, news = found.unionByName(more), not more.isEmpty()
-        forget(first, placed)
+        forget(first)
         return found
 
     def linked(self, candidates: DataFrame) -> DataFrame:
         candidates = written(candidates, f"{self.name}-pairs")
         return written(self.verified(candidates), f"{self.name}-late")
 
-    def mixed_tiles(self, frequent: DataFrame, comps: DataFrame) -> DataFrame | None:
-        """All tiles (g, lo, hi, part, fp, c, size) of the frequent tokens that join different components; None without one."""
-        placed = frequent.join(comps, "fp", "left").withColumn("c", F.coalesce("c", "fp"))
-        mixed = placed.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.ceil(F.count("*") / (TILE // 2)).cast("int").alias("parts")).filter("x <> y")
-        mixed = written(mixed.select("token", "parts"), f"{self.name}-mixed")
-        if mixed.isEmpty():
-            return None
-        dealt = placed.join(mixed, "token").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-        spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        return spread.select(F.col("token").alias("g"), F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "fp", "c", "size")
+    def dealt(self, placed: DataFrame, turn: int) -> DataFrame:
+        """The classes (token, fp, size, c) of frequent tokens that join components, each in one tile of its token."""
+        several = placed.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.ceil(F.count("*") / TILE).alias("parts")).filter("x <> y").select("token", "parts")
+        part = F.pmod(F.xxhash64("fp", F.lit(turn)), F.col("parts")).cast("int")
+        return placed.join(several, "token").select(F.col("token").alias("g"), part.alias("x"), F.lit(0).alias("y"), F.lit(0).alias("z"), F.lit(False).alias("probe"), "fp", "c", "size")
+
+    def crossed(self, placed: DataFrame) -> DataFrame:
+        """The same classes in tiles in which every two of different components and like size meet, the one as a probe: those
+        outside a token's largest component go to all tiles of their own band of sizes and the two beside it."""
+        largest = placed.groupBy("token", "c").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.count("*").alias("parts")).filter("parts > 1").select("token", "most")
+        # Sizes that can reach the similarity are in one band or in neighbouring ones (bands are a little wider than that).
+        banded = placed.join(largest, "token").withColumn("band", F.floor(F.log("size") / (1.001 * math.log(100 / self.percent))).cast("int"))
+        tiles = banded.groupBy("token", "band").agg(F.ceil(F.count("*") / TILE).alias("parts"))
+        probes = banded.filter("c <> most").select("token", "fp", "c", "size", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"))
+        groups = probes.groupBy("token", "band").agg(F.ceil(F.count("*") / (4 * TILE)).alias("groups"))
+        tiles = written(tiles.join(groups, ["token", "band"]), f"{self.name}-tiles")
+        spread = lambda rows, own, across, probe: rows.join(tiles, ["token", "band"]).select(
+            F.col("token").alias("g"), F.col("band").alias("x"), F.pmod(F.xxhash64("fp"), F.col(own)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col(across).cast("int") - 1)).alias("across"), F.lit(probe).alias("probe"), "fp", "c", "size"
+        )
+        base = spread(banded, "parts", "groups", False).withColumnsRenamed({"own": "y", "across": "z"})
+        return base.unionByName(spread(probes, "groups", "parts", True).withColumnsRenamed({"own": "z", "across": "y"})).select("g", "x", "y", "z", "probe", "fp", "c", "size")
 
     def mapped(self, found: DataFrame) -> DataFrame:
         return components(found, f"{self.name}-c").select(F.col("id").alias("fp"), F.col("component").alias("c"))
