@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .hierarchy import ends, settled
+
 
 def first_source(df: DataFrame, key: str, sources: dict[str, DataFrame], otherwise: str) -> DataFrame:
     """Adds `status`: the name of the first source that holds the key."""
@@ -78,12 +80,13 @@ def fitting(df: DataFrame, by: list[str], order: list[str], line: str, cap: int)
     return df.withColumn("_upto", F.sum(F.length(line) + 1).over(w) - 1).filter(F.col("_upto") <= cap).drop("_upto")
 
 
-def cycles(edges: DataFrame, child: str, parent: str, depth: int = 32) -> DataFrame:
-    """(node): nodes of a forest that lie on a ring, by doubling the jumps; a node's parent is unique."""
-    jump = edges.filter(F.col(parent).isNotNull()).select(F.col(child).alias("node"), F.col(parent).alias("to"))
-    reach = jump
-    steps = 1
-    while steps < depth:  # after as many jumps as there may be levels only rings are left
-        reach = reach.join(reach.select(F.col("node").alias("to"), F.col("to").alias("_next")), "to").select("node", F.col("_next").alias("to"))
-        steps *= 2
-    return reach.select(F.col("to").alias("node")).distinct()
+def cycles(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """(node): nodes of a forest that lie on a ring, by doubling the jumps until no chain of any length is left; a node's
+    parent is unique."""
+    links = settled(edges.filter(F.col(parent).isNotNull()).select(F.col(child).alias("id"), F.col(parent).alias("to")).distinct())
+    _, ring = ends(links)
+    none = links.select(F.col("id").alias("node")).filter("false")
+    if ring is None:
+        return none
+    # What is jumped to after more jumps than there are links lies on a ring; all of a ring is jumped to.
+    return ring.select(F.col("id").alias("node"))
