@@ -10,8 +10,8 @@ of each document, end id included), block_ids and block_words (per block: ids he
 64-bit). Rows in order of (part, seq) hold documents in ascending doc_id.
 
 Encoding: a text's words are what its ASCII white space separates; the tokenizer never joins ids across white space, so
-each distinct word is encoded once per worker, and the ids of a text are those of its words. ASCII letters followed by one
-of `. , !` are split there too, as the tokenizer's own pattern does. Words of ASCII bytes alone are folded to lower case
+each distinct word is encoded once per worker, and the ids of a text are those of its words. Words are split between a
+letter and an ASCII sign behind it too, where the tokenizer's own pattern ends a run of letters. Words of ASCII bytes alone are folded to lower case
 first; all others reach the tokenizer as they are, since it composes letters and marks before it folds. Texts are encoded
 SLICE bytes at a time, cut between words, so a long text takes no more memory than a short one.
 
@@ -150,7 +150,9 @@ def unpack(words: np.ndarray, held: np.ndarray, first: np.ndarray) -> np.ndarray
     return out[inside]
 
 
-_STOP = np.isin(np.arange(256), list(b".,!"))
+_STOP = np.isin(np.arange(256), list(b"!\"#$%&()*+,-./:;<=>?@[]^_`{}~"))
+#: Second bytes of the letters À to ÿ.
+_LATIN = np.isin(np.arange(256), [c for c in range(0x80, 0xC0) if c not in (0x97, 0xB7)])
 _LETTER = np.isin(np.arange(256), list(range(65, 91)) + list(range(97, 123)))
 
 
@@ -161,7 +163,8 @@ def split_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     cut = np.zeros(len(data) + 1, bool)
     cut[offs] = True
     stop = np.flatnonzero(_STOP[data])
-    cut[stop[_LETTER[data[np.maximum(stop - 1, 0)]] & (stop > 0)]] = True
+    before = data[np.maximum(stop - 1, 0)]
+    cut[stop[(_LETTER[before] | (_LATIN[before] & (data[np.maximum(stop - 2, 0)] == 0xC3) & (stop > 1))) & (stop > 0)]] = True
     starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[:-1]))
     ends = np.flatnonzero(inside[1:-1] & (~inside[2:] | cut[1:])) + 1
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
@@ -215,6 +218,9 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.model = self.tokenizer.model
+        # Words of small ASCII letters are one word of the model's, unless these show that the tokenizer treats them otherwise.
+        self.direct = all(self._word(w).tolist() == self.tokenizer.encode(w, add_special_tokens=False).ids for w in ("a", "the", "strength", "zzqx", "internationalization", "abcdefghijklmnopqrstuvwxyz"))
         self.forget()
 
     def forget(self) -> None:
@@ -242,9 +248,14 @@ class WordEncoder:
         if len(self.tables[1][0]) > 20_000 + len(self.tables[0][0]) // 4:
             self.tables = [joined(*self.tables), (keys[:0], begin[:0], length[:0])]
 
+    def _word(self, word: str) -> np.ndarray:
+        return np.array([t.id for t in self.model.tokenize(word)], np.uint32)
+
     def _encode_new(self, words: list[str]) -> list[np.ndarray]:
         alone = lambda w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
         out: dict[int, np.ndarray] = {k: alone(w) for k, w in enumerate(words) if self.MARK in w}
+        if self.direct:
+            out.update((k, self._word(w)) for k, w in enumerate(words) if w.isascii() and w.isalpha() and w.islower())
         plain = [k for k in range(len(words)) if k not in out]
         groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
         joined = self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(words[k] for k in g) for g in groups], add_special_tokens=False)
