@@ -157,6 +157,8 @@ def distinct_counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def scatter(bucket: np.ndarray, *columns: np.ndarray):
     """(bucket, bytes of each column) for each bucket present: few rows for Spark to shuffle, whatever the number of values."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     columns = [np.ascontiguousarray(c[order]) for c in columns]
