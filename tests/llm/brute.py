@@ -6,6 +6,8 @@ import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
 
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -131,3 +133,43 @@ def personal(text):
     found += [("card", m) for m in CARD.finditer(text) if 16 <= len(digits(m)) <= 19 and luhn(digits(m))]
     found += [("phone", m) for m in PHONE.finditer(text) if 8 <= len(digits(m)) <= 15]
     return [f"{k}:{m.start()}:{m.end()}" for k, m in found]
+
+
+def spark_hash(*values):
+    """What Spark's xxhash64 gives of strings and 64-bit integers, null ones left out."""
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else (v & (1 << 64) - 1).to_bytes(8, "little"), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def shards(docs, n=16, slices=8192, vnodes=128):
+    """Shard of every (doc_id, text) in order: a ring with n * vnodes points, shares at most one apart."""
+    points = defaultdict(set)
+    for k in range(n * vnodes):
+        points[k % n].add(spark_hash("vnode", k % n, k // n) % slices)
+    place = [spark_hash("text", t) if i is None else spark_hash("key", i) for i, t in docs]
+    held = defaultdict(list)
+    for k, p in enumerate(place):
+        held[p % slices].append(k)
+    room = [len(docs) // n + (k < len(docs) % n) for k in range(n)]
+    out = [None] * len(docs)
+    for s in sorted(held, key=lambda s: spark_hash("turn", s)):
+        clockwise = sorted(range(n), key=lambda k: (min((p - s) % slices for p in points[k]), k))
+        for k in sorted(held[s], key=lambda k: (place[k], docs[k][0] is not None, docs[k][0] or 0, spark_hash(docs[k][1]))):
+            out[k] = next(x for x in clockwise if room[x])
+            room[out[k]] -= 1
+    return out
+
+
+def phrases(sample, text):
+    """Longest matches that cover a text, each the longest that starts there and occurs in the sample; unknown bytes count one."""
+    n = at = 0
+    while at < len(text):
+        k = 1
+        while at + k <= len(text) and text[at : at + k] in sample:
+            k += 1
+        at += max(1, k - 1)
+        n += 1
+    return n
