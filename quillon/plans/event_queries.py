@@ -217,11 +217,10 @@ def most_specific_links(spark, sf_dir):
 
 @query(
     "merge_chains",
-    "WITH RECURSIVE l AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN (SELECT max(o_orderkey) FROM orders p WHERE p.o_orderkey < o.o_orderkey) END AS into_id FROM orders o WHERE o_orderkey < 2000), up AS (SELECT id, id AS survivor, 0 AS d FROM l UNION ALL SELECT up.id, l.into_id, d + 1 FROM up JOIN l ON l.id = up.survivor WHERE l.into_id IS NOT NULL) SELECT id, arg_max(survivor, d) AS survivor FROM up GROUP BY id",
+    "WITH RECURSIVE l AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN lag(o_orderkey) OVER (ORDER BY o_orderkey) END AS into_id FROM orders), up AS (SELECT id, id AS survivor, 0 AS d FROM l UNION ALL SELECT up.id, l.into_id, d + 1 FROM up JOIN l ON l.id = up.survivor WHERE l.into_id IS NOT NULL) SELECT id, arg_max(survivor, d) AS survivor FROM up GROUP BY id",
 )
 def merge_chains(spark, sf_dir):
-    """The part of the ledger that its SQL names; merge_chains_whole is over all of it."""
-    return hierarchy.resolved(_ledger(table(spark, sf_dir, "orders").filter("o_orderkey < 2000")))
+    return hierarchy.resolved(_ledger(table(spark, sf_dir, "orders")))
 
 
 def _ledger(orders, span=1024):
@@ -234,12 +233,6 @@ def _ledger(orders, span=1024):
     return o.withColumn("before", before).join(carried, "span").select("id", F.when(F.col("id") % 3 == 0, F.coalesce("before", "carried")).alias("merged_into"))
 
 
-@query("merge_chains_whole")
-def merge_chains_whole(spark, sf_dir):
-    """merge_chains over every order; it has no SQL."""
-    return hierarchy.resolved(_ledger(table(spark, sf_dir, "orders")))
-
-
 @query(
     "due_batch",
     """

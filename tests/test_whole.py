@@ -32,7 +32,7 @@ def test_merge_chains_over_the_whole_ledger(spark, tmp_path):
     keys = sorted({*range(1, 30, 2), *range(900, 1100, 3), 2046, 2049, 4098, 7000, 7002, 7005, 70_000, 70_002})
     spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
     into = {k: (b if k % 3 == 0 else None) for b, k in zip([None, *keys], keys)}
-    got = {r.id: r.survivor for r in event_queries.merge_chains_whole(spark, str(tmp_path)).collect()}
+    got = {r.id: r.survivor for r in event_queries.merge_chains(spark, str(tmp_path)).collect()}
     assert got == {i: ends(into, i) for i in into}
 
 
@@ -41,7 +41,7 @@ def test_two_of_three_over_every_part(spark, tmp_path):
     spark.createDataFrame(parts, "p_partkey long, p_brand string, p_type string, p_size long").write.parquet(f"{tmp_path}/part.parquet")
     later = [(k, "X" if k % 23 == 3 else x, y, None if k % 37 == 5 else z) for k, x, y, z in parts]
     want = sorted((a[0], b[0]) for a in parts for b in later if sum(u is not None and u == v for u, v in zip(a[1:], b[1:])) >= 2)
-    got = sorted((r.gone, r.new) for r in text_queries.two_of_three_whole(spark, str(tmp_path)).collect())
+    got = sorted((r.gone, r.new) for r in text_queries.two_of_three(spark, str(tmp_path)).collect())
     assert got == want and {a for a, _ in got} == {k for k, *_ in parts}
 
 
@@ -54,8 +54,14 @@ def test_prefix_matches_of_any_length(spark):
     ])
 
 
-def test_pipeline_keeps_texts_where_no_language_was_learned(spark):
-    import corpus_pipeline
+def test_closure_of_a_long_chain(spark):
+    """A chain of 100 nodes, all of whose pairs are there at their depths; and a ring, in which all reach all."""
+    from quillon.operators import curation
 
-    docs = spark.createDataFrame([(1, "plain words", None), (2, "12 34", None), (3, None, None), (4, "\u00e9", None)], "doc_id long, text string, lang string")
-    assert sorted(r.doc_id for r in corpus_pipeline.keep_known_language(spark, docs, "").collect()) == [1, 4]
+    chain = spark.createDataFrame([(k, k + 1 if k < 99 else None) for k in range(100)], "id long, parent long")
+    got = {(r.id, r.ancestor): r.depth for r in hierarchy.closure(chain).collect()}
+    assert got == {(a, b): b - a for a in range(100) for b in range(a, 100)}
+    assert curation.cycles(chain, "id", "parent").isEmpty()
+    ring = spark.createDataFrame([(k, (k + 1) % 7) for k in range(7)] + [(50, 3), (51, 50)], "id long, parent long")
+    assert {(r.id, r.ancestor) for r in hierarchy.closure(ring).collect()} >= {(a, b) for a in range(7) for b in range(7)}
+    assert sorted(r.node for r in curation.cycles(ring, "id", "parent").collect()) == list(range(7))
