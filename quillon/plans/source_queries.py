@@ -202,3 +202,18 @@ def stream_claims(spark, sf_dir):
     """Users and types that were claimed once by a stream."""
     stream = streams.table_stream(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
     return streams.drained(spark, streams.first_claims(stream, ["user_id", "event_type"], "at"), mode="append").select("user_id", "event_type")
+
+
+@query(
+    "claim_ledger",
+    """WITH RECURSIVE r AS (SELECT user_id, ts, event_type <> 'purchase' AS is_claim, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type <> 'purchase') AS n FROM events WHERE event_type IN ('click', 'signup', 'purchase')),
+w AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS TIMESTAMP) AS claimed, false AS sent, false AS granted FROM r
+ UNION ALL SELECT r.user_id, r.n, CASE WHEN is_claim AND (claimed IS NULL OR (NOT sent AND ts > claimed + INTERVAL 12 HOUR)) THEN ts ELSE claimed END,
+  CASE WHEN is_claim AND (claimed IS NULL OR (NOT sent AND ts > claimed + INTERVAL 12 HOUR)) THEN false WHEN NOT is_claim AND claimed IS NOT NULL THEN sent OR ts <= claimed + INTERVAL 12 HOUR ELSE sent END,
+  is_claim AND (claimed IS NULL OR (NOT sent AND ts > claimed + INTERVAL 12 HOUR)) FROM w JOIN r ON r.user_id = w.user_id AND r.n = w.n + 1)
+SELECT user_id, claimed AS ts FROM w WHERE granted""",
+)
+def claim_ledger(spark, sf_dir):
+    """Claims of users that a stream grants: clicks and sign-ups claim, purchases confirm, claims lapse after twelve hours."""
+    stream = streams.table_stream(spark, sf_dir, "events").filter("event_type IN ('click', 'signup', 'purchase')").withColumn("is_claim", F.col("event_type") != "purchase")
+    return streams.drained(spark, streams.claim_ledger(stream.select("user_id", "ts", "is_claim"), "user_id", "ts", "is_claim", "12 hours"), mode="append").select("user_id", "ts")

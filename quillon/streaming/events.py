@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,6 +39,32 @@ def first_claims(stream: DataFrame, keys: list[str], stamp: str, hold: str = "5
     return stream.withWatermark(stamp, hold).dropDuplicatesWithinWatermark(keys)
 
 
+def claim_ledger(stream: DataFrame, key: str, at: str, is_claim: str, hold: str = "5 minutes") -> DataFrame:
+    """(key, at): claims that are granted, in a stream of claims and confirmations (is_claim false): a key that is free, or
+    whose claim was not confirmed within `hold`, which has lapsed then. A confirmed key is never free again. The state of a
+    key is when it was claimed and whether that was confirmed; rows of one batch are taken in order of time."""
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
+    span = pd.Timedelta(hold)
+
+    def step(keys, batches, state: GroupState):
+        claimed, sent = state.get if state.exists else (None, False)
+        granted = []
+        for row in pd.concat(list(batches)).sort_values([at, is_claim], kind="stable").itertuples(index=False):
+            now = getattr(row, at)
+            if getattr(row, is_claim):
+                if claimed is None or (not sent and now > pd.Timestamp(claimed) + span):
+                    claimed, sent = now.isoformat(), False
+                    granted.append(now)
+            elif claimed is not None:
+                sent = sent or now <= pd.Timestamp(claimed) + span
+        if claimed is not None:
+            state.update((claimed, sent))
+        yield pd.DataFrame({key: [keys[0]] * len(granted), at: pd.Series(granted, dtype="datetime64[ns]")})
+
+    rows = stream.select(key, F.col(at).cast("timestamp_ntz").alias(at), is_claim)
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {at} timestamp_ntz", "claimed string, sent boolean", "append", "NoTimeout")
+
+
 def tally(stream: DataFrame, stamp: str, width: str, late: str, by: list[str]) -> DataFrame:
     """(start, by, n) in tumbling windows; rows later than `late` are dropped."""
     return stream.withWatermark(stamp, late).groupBy(F.window(stamp, width), *by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *by, "n")

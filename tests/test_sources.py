@@ -1,5 +1,8 @@
 """Sources, sinks, streams, layouts and drawings on small tables, odd rows among them."""
 
+import datetime
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +124,30 @@ def test_stream_keeps_the_latest_over_replays(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
     got = streams.drained(spark, streams.latest(stream, ["k"], "at", "v")).collect()
     assert sorted((r.k, r.v) for r in got) == [(1, 1), (2, 4)]
+
+
+def batches(spark, tmp_path, rows, schema):
+    """A stream that reads one list of rows after another, each in a batch of its own."""
+    for k, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/{k}")
+        for f in (tmp_path / str(k)).glob("*.parquet"):
+            os.utime(f, (1_700_000_000 + 60 * k,) * 2)
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+
+
+def test_claims_lapse_unless_confirmed(spark, tmp_path):
+    at = lambda m: datetime.datetime(2024, 1, 1, 12, m)
+    rows = [[("a", at(0), True), ("b", at(0), True), ("c", at(0), True)], [("a", at(3), True), ("b", at(2), False)], [("a", at(6), True), ("b", at(30), True), ("c", at(9), False)], [("a", at(8), True), ("c", at(10), True)]]
+    stream = batches(spark, tmp_path, rows, "k string, at timestamp_ntz, c boolean")
+    got = sorted((r.k, r.at) for r in streams.drained(spark, streams.claim_ledger(stream, "k", "at", "c"), mode="append").select("k", "at").collect())
+    # a: the claim of 12:00 lapses at 12:05; b is confirmed for good; c: a confirmation after the lapse does not count.
+    assert got == [("a", at(0)), ("a", at(6)), ("b", at(0)), ("c", at(0)), ("c", at(10))]
+
+
+def test_rows_later_than_the_horizon_are_dropped(spark, tmp_path):
+    at = lambda h: datetime.datetime(2024, 1, 1, h, 30)
+    rows = [[("x", at(1)), ("x", at(2))], [("x", at(20))], [("x", at(21))], [("x", at(1)), ("x", at(15))], [("x", at(23))]]
+    stream = batches(spark, tmp_path, rows, "k string, at timestamp_ntz").withColumn("at", F.col("at").cast("timestamp"))
+    got = {r.start.hour: r.n for r in streams.drained(spark, streams.tally(stream, "at", "1 hour", "6 hours", ["k"]), mode="append").collect()}
+    # The second row of 1:30 comes when the stream has been at 20:30; the one of 15:30 is within six hours of that.
+    assert got == {1: 1, 2: 1, 15: 1}
