@@ -11,12 +11,15 @@ from .catalog import query, table
 from .event_queries import _SPANS, spans
 
 
+_A = pages.ANCHOR.replace("'", "''")
+
+
 @query(
     "page_links",
-    """
-WITH a AS (SELECT page_id, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS found FROM pages),
-x AS (SELECT page_id, unnest(found) AS a, unnest(range(len(found))) AS position FROM a)
-SELECT page_id, CAST(position AS INTEGER) AS position, regexp_extract(a, 'href="([^"]*)"', 1) AS href, regexp_extract(a, '>([^<]*)<', 1) AS says FROM x
+    rf"""
+WITH p AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script>', ' ', 'g') AS html FROM pages),
+x AS (SELECT page_id, unnest(regexp_extract_all(html, '{_A}', 1)) AS href, unnest(regexp_extract_all(html, '{_A}', 2)) AS says, unnest(range(len(regexp_extract_all(html, '{_A}', 1)))) AS position FROM p)
+SELECT page_id, CAST(position AS INTEGER) AS position, href, trim(regexp_replace(regexp_replace(says, '<[^>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')) AS says FROM x
 """,
 )
 def page_links(spark, sf_dir):

@@ -13,11 +13,17 @@ RECORD = "page_id bigint, title string, heading string, description string, fiel
 SKIPPED = {"script", "style"}
 
 
+#: An anchor with a href among whatever attributes, in either quotes, and what stands in it, tags included.
+ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*["']([^"'>]*)["'][^>]*>(.*?)</a>"""
+
+
 def links(pages: DataFrame, id_: str, html: str) -> DataFrame:
-    """(id, position, href, says) of every anchor in page order; a null page has none."""
-    anchors = F.regexp_extract_all(html, F.lit('<a href="([^"]*)">[^<]*</a>'), F.lit(0))
+    """(id, position, href, says) of every anchor in page order, what it says without tags and with single spaces; comments
+    and scripts hold none; a null page has none."""
+    plain = F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script>", " ")
+    anchors = F.arrays_zip(F.regexp_extract_all(plain, F.lit(ANCHOR), F.lit(1)).alias("href"), F.regexp_extract_all(plain, F.lit(ANCHOR), F.lit(2)).alias("says"))
     one = pages.select(id_, F.posexplode(anchors).alias("position", "a"))
-    return one.select(id_, "position", F.regexp_extract("a", 'href="([^"]*)"', 1).alias("href"), F.regexp_extract("a", ">([^<]*)<", 1).alias("says"))
+    return one.select(id_, "position", F.col("a.href").alias("href"), F.trim(F.regexp_replace(F.regexp_replace("a.says", "<[^>]*>", " "), "[ \t\n\r]+", " ")).alias("says"))
 
 
 class _Page(HTMLParser):
