@@ -43,7 +43,7 @@ WIDE = {
     "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+[\x20]?(?:\(at\)|\[at\]|\{at\}|(?<=\x20)at(?=\x20)|@)[\x20]?[a-z0-9-]{1,63}+(?:[\x20]?(?:\(dot\)|\[dot\]|\{dot\}|(?<=\x20)dot(?=\x20)|\.)[\x20]?[a-z0-9-]{1,63}+){1,4}+",
     "ip": r"(?<![0-9.])[0-9]{1,3}+(?:[\x20]?(?:\.|\[\.\]|\(\.\))[\x20]?[0-9]{1,3}+){3}+(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9])[0-9](?:[\x20.\-_/]{0,2}+[0-9]){12,18}+(?![0-9])",
-    "secret": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,80}[0-9])[A-Za-z0-9_+/-]{20,200}+={0,2}+(?![A-Za-z0-9_+/=-])",
+    "secret": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/-]{20,200}+={0,2}+(?![A-Za-z0-9_+/=-])",
     "phone": r"(?<![0-9+(.-])(?:00[\x20.-]?[0-9]{1,3}+[\x20.-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.\-/]{1,2}+[0-9]{3,4}+(?:[\x20.-][0-9]{2,4}+){1,3}+(?![0-9])",
 }
 BEFORE, AFTER = 32, 12
@@ -65,21 +65,35 @@ _SPANS = "CAST(array() AS ARRAY<STRUCT<start: INT, end: INT, hit: STRING>>)"
 _BLOCK = 64
 
 
+def _once(value: Column, then) -> Column:
+    """then(value), the value computed once however often it is named: it is bound as the element of an array."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _found(text: Column, pattern: str) -> Column:
     """Matches with their code-point offsets, in blocks: an array that grows match by match would be copied each time."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def step(a: Column, x: Column) -> Column:
         begin = a["at"] + F.length(x["gap"])
         end = begin + F.length(x["hit"])
         return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("hit")))).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / _BLOCK).cast("int")), lambda b: F.slice(pairs, b * _BLOCK + 1, F.lit(_BLOCK)))
-    longs = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.length(x["hit"])))
-    begins = F.aggregate(longs, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    placed = F.zip_with(blocks, F.slice(begins, F.lit(1), F.size(longs)), lambda b, at: F.aggregate(b, F.struct(at.alias("at"), F.expr(_SPANS).alias("out")), step, lambda a: a["out"]))
-    return F.when(F.size(hits) > 0, F.flatten(placed)).otherwise(F.expr(_SPANS))
+    def with_gaps(hits: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+        return F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+
+    def in_blocks(pairs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / _BLOCK).cast("int")), lambda b: F.slice(pairs, b * _BLOCK + 1, F.lit(_BLOCK)))
+
+    def placed(blocks: Column) -> Column:
+        longs = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.length(x["hit"])))
+        begins = F.aggregate(longs, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        each = F.zip_with(blocks, F.slice(begins, F.lit(1), F.size(blocks)), lambda b, at: F.aggregate(b, F.struct(at.alias("at"), F.expr(_SPANS).alias("out")), step, lambda a: a["out"]))
+        return F.flatten(each)
+
+    none = F.expr(_SPANS)
+    some = lambda hits: F.when(F.size(hits) > 0, _once(with_gaps(hits), lambda p: _once(in_blocks(p), placed))).otherwise(none)
+    return _once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), some)
 
 
 def luhn(digits: Column) -> Column:
@@ -131,7 +145,7 @@ def candidates(text: Column) -> Column:
         "ip": text.rlike(r"[0-9][\x20\])]?\.[\x20\])]?[0-9]{1,3}[\x20(\[]?\."),
         "card": text.rlike(r"[0-9](?:[\x20.\-_/]{0,2}+[0-9]){12}"),
         "phone": text.rlike(r"[0-9]{2}[)\x20.\-/]{1,2}[0-9]{3}"),
-        "secret": text.rlike(r"[A-Za-z0-9_+/-]{20}"),
+        "secret": text.rlike(r"(?:^|[^A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/-]{20}"),
     }
 
     def full(kind: str) -> Column:
