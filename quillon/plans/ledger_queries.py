@@ -66,6 +66,13 @@ def ledger_again(spark, sf_dir):
     return ledger.mapped(rows, ledger.next_ledger(rows, known)).agg(F.count("*").alias("n"), F.count("moved_from").alias("moved"))
 
 
+@query("ledger_replay", _LISTED + "SELECT v.version, source, id FROM mapped, (VALUES (0), (1)) v(version)")
+def ledger_replay(spark, sf_dir):
+    """Two versions of the same listing: the second one finds its ids in the ledger that the first one left."""
+    rows, known = listed(spark, sf_dir)
+    return ledger.replay([rows, rows], known)
+
+
 @query(
     "unsure_pairs",
     """
