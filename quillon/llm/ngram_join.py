@@ -470,7 +470,8 @@ class Join:
         for turn in range(0 if frequent.isEmpty() else 3):
             if turn == 1 and not news:  # the components are as they were
                 continue
-            placed = written(frequent.join(self.mapped(found), "fp", "left").withColumn("c", F.coalesce("c", "fp")), f"{name}-placed")
+            if news:
+                placed = written(frequent.join(self.mapped(found), "fp", "left").withColumn("c", F.coalesce("c", "fp")), f"{name}-placed")
             members = self.dealt(placed, turn) if turn < 2 else self.crossed(placed)
             more = self.linked(self.bit_tiles(members, turn == 2).distinct())
             found, news = found.unionByName(more), not more.isEmpty()
