@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, embedding_dedup, language_id, mixing, ngram_join, pii, ppm_scoring, sharding, suffix_dedup, token_output
+from . import centroids, decontamination, embedding_dedup, language_id, mixing, ngram_join, pii, ppm_scoring, sharding, suffix_dedup, token_output
 
 QUERIES = {
     "op1_benchmark_decontamination": decontamination.op1,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_language_id": language_id.op8,
     "op9_mixing": mixing.op9,
     "op10_suffix_array_dedup": suffix_dedup.op10,
+    "op11_centroid_clustering": centroids.op11,
 }
 
 SQL = {
     "op1_benchmark_decontamination": decontamination.OP1_SQL,
     "op9_mixing": mixing.OP9_SQL,
+    "op11_centroid_clustering": centroids.OP11_SQL,
 }
