@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, decontamination, embedding_dedup, language_id, mixing, ngram_join, pii, ppm_scoring, sharding, suffix_dedup, token_output
+from . import centroids, conversation_repair, decontamination, embedding_dedup, language_id, mixing, ngram_join, pii, ppm_scoring, sharding, suffix_dedup, token_output
 
 QUERIES = {
     "op1_benchmark_decontamination": decontamination.op1,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_mixing": mixing.op9,
     "op10_suffix_array_dedup": suffix_dedup.op10,
     "op11_centroid_clustering": centroids.op11,
+    "op13_conversation_repair": conversation_repair.op13,
 }
 
 SQL = {
     "op1_benchmark_decontamination": decontamination.OP1_SQL,
     "op9_mixing": mixing.OP9_SQL,
     "op11_centroid_clustering": centroids.OP11_SQL,
+    "op13_conversation_repair": conversation_repair.OP13_SQL,
 }
