@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, conversation_repair, decontamination, embedding_dedup, language_id, mixing, ngram_join, pii, ppm_scoring, sharding, suffix_dedup, token_output
+from . import centroids, conversation_repair, decontamination, embedding_dedup, language_id, mixing, ngram_join, pii, ppm_scoring, sharding, suffix_dedup, token_output, toxicity
 
 QUERIES = {
     "op1_benchmark_decontamination": decontamination.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mixing": mixing.op9,
     "op10_suffix_array_dedup": suffix_dedup.op10,
     "op11_centroid_clustering": centroids.op11,
+    "op12_toxicity": toxicity.op12,
     "op13_conversation_repair": conversation_repair.op13,
 }
 
