@@ -8,8 +8,10 @@ survives all dimensions is decided by the cosine of the vectors themselves in do
 number of links and a spanning forest of its links, never all pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, rows with a null label or a null
-vec_id link with nothing (their component is their own id); repeated rows are copies and link; vectors of different
-dimension never link; empty tables give an empty result; other columns do not matter.
+vec_id link with nothing (their component is their own id); repeated rows are copies and link; an id with several vectors has
+a row for each, with that vector's own links; vectors of different dimension never link; a cosine of exactly the threshold
+links; very long vectors are compared as they are, unrotated beyond the commonest dimensions; empty tables give an empty
+result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -124,8 +126,9 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(label).alias("label"), F.col(embedding).cast("array<double>").alias("embedding"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(~bad & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    groups = rows.filter(usable).groupBy("label", "embedding").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    groups = written(groups.withColumn("dim", F.size("embedding")), "vectors")
+    groups = rows.filter(usable).groupBy("label", "embedding").agg(F.min("id").alias("low"), F.count("*").alias("copies"))
+    # An id may have several vectors, so a group has a number of its own, which the written table fixes.
+    groups = written(groups.withColumns({"dim": F.size("embedding"), "rep": F.monotonically_increasing_id()}), "vectors")
     axes = spark.sparkContext.broadcast(principal_axes(groups))
     # Chunks: a label's number of them follows from its count; a chunk's rows are dealt by hash.
     sizes = groups.groupBy("label", "dim").agg(F.ceil(F.count("*") / tile).cast("int").alias("chunks"))
@@ -156,8 +159,10 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     found = written(found, "vector-links")
     links = found.filter("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     parts = components(found.filter("b IS NOT NULL").select("a", "b"), "vector-components")
-    reps = groups.join(links, "rep", "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
-    reps = reps.select(F.col("label").alias("r_label"), F.col("embedding").alias("r_embedding"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
+    lowest = parts.join(groups.select(F.col("rep").alias("id"), "low"), "id").groupBy("component").agg(F.min("low").alias("lowest"))
+    parts = parts.join(lowest, "component").select(F.col("id").alias("rep"), F.col("lowest").alias("component"))
+    reps = groups.join(links, "rep", "left").join(parts, "rep", "left")
+    reps = reps.select(F.col("label").alias("r_label"), F.col("embedding").alias("r_embedding"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "low").alias("c"))
     good = rows.filter(usable).join(reps, (F.col("label") == F.col("r_label")) & (F.col("embedding") == F.col("r_embedding"))).select(F.col("id").alias("vec_id"), F.col("n").alias("n_links"), F.col("c").alias("component_id"))
     rest = rows.filter(~usable).select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return good.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
