@@ -343,3 +343,19 @@ def test_pipeline_keeps_texts_where_no_language_was_learned(spark):
 
     docs = spark.createDataFrame([(1, "plain words", None), (2, "12 34", None), (3, None, None), (4, "\u00e9", None)], "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in corpus_pipeline.keep_known_language(spark, docs, "").collect()) == [1, 4]
+
+
+def test_ids_with_several_vectors(spark):
+    """Each vector of an id has its own links; other dimensions in the label and a null id are apart."""
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [1.0, 0.02], 0), (None, [1.0, 0.0], 0), (4, [1.0, 0.0, 0.0], 0), (5, [0.01, 1.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({"rep": F.lit(1), "low": F.lit(2), "id": F.lit("x"), "row": F.lit(3)})
+    got = sorted(map(tuple, embedding_dedup.near_vectors(df).select("vec_id", "n_links", "component_id", "kept").collect()), key=repr)
+    assert got == sorted([(1, 2, 1, True), (1, 1, 1, True), (2, 2, 1, False), (3, 2, 1, False), (None, 0, None, True), (4, 0, 4, True), (5, 1, 1, False)], key=repr)
+
+
+def test_generators_propose_what_they_must(spark):
+    """Brackets in addresses, keys behind '=' and of any length."""
+    text = "api_key=sk9fQ2LmX0aZpT4rBv7KdYwE, secret: " + "aB3" * 100 + " and 185[.]34[.]7[.]90 or 93(.)184(.)216(.)34"
+    kinds = [(c.kind, c.hit) for c in spark.createDataFrame([(text,)], "text string").select(pii.candidates(F.col("text")).alias("c")).first().c]
+    assert [h for k, h in kinds if k == "ip"] == ["185[.]34[.]7[.]90", "93(.)184(.)216(.)34"]
+    assert [len(h) for k, h in kinds if k == "secret"] == [24, 300]
