@@ -103,8 +103,14 @@ def strings_in(s: Column) -> Column:
 
 def nearest_rect(points: DataFrame, rects: DataFrame, plate: str, point: str, x: str, y: str, reach: float) -> DataFrame:
     """(point, rect, distance): the rectangle of a plate nearest to a point, the larger id among equals; none beyond reach.
-    rects: (plate, rect, x0, y0, x1, y1)."""
-    both = points.join(rects, plate)
+    rects: (plate, rect, x0, y0, x1, y1).
+
+    Both meet in the cells of a grid as wide as the reach: a rectangle stands in every cell it comes within reach of, a point in
+    its own, so each pair that counts meets once and no point meets what is far off.
+    """
+    cell = lambda v: F.floor(v / reach).cast("long")
+    spread = rects.withColumn("_cx", F.explode(F.sequence(cell(F.col("x0") - reach), cell(F.col("x1") + reach)))).withColumn("_cy", F.explode(F.sequence(cell(F.col("y0") - reach), cell(F.col("y1") + reach))))
+    both = points.withColumns({"_cx": cell(F.col(x)), "_cy": cell(F.col(y))}).join(spread, [plate, "_cx", "_cy"])
     dx = F.greatest(F.col("x0") - F.col(x), F.lit(0.0), F.col(x) - F.col("x1"))
     dy = F.greatest(F.col("y0") - F.col(y), F.lit(0.0), F.col(y) - F.col("y1"))
     d = F.round(F.sqrt(dx * dx + dy * dy), 9)
