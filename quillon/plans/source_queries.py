@@ -107,7 +107,17 @@ def place_tallies(spark, sf_dir):
     return places.tallies(places.on_file(asked, rooms, aliases, "c_custkey", "hotel", "said"), asked.select(F.col("c_custkey").alias("id"), "hotel"))
 
 
-@query("timeline_columns")
+_PACKED = """, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s, event_id) AS k FROM spans),
+packed AS (
+  SELECT user_id, event_id, k, CAST(0 AS BIGINT) AS col, CAST(1 AS BIGINT) AS island, [{'until': e, 'col': CAST(0 AS BIGINT)}] AS opened FROM n WHERE k = 1
+  UNION ALL
+  SELECT user_id, event_id, k, col, island, list_append(still, {'until': e, 'col': col}) FROM (
+    SELECT user_id, event_id, k, e, still, CASE WHEN len(still) = 0 THEN island + 1 ELSE island END AS island, list_min(list_filter(range(0, len(still) + 1), lambda c: NOT list_contains(list_transform(still, lambda o: o.col), c))) AS col FROM (
+      SELECT n.user_id, n.event_id, n.k, n.e, p.island, list_filter(p.opened, lambda o: o.until > n.s) AS still FROM packed p JOIN n ON n.user_id = p.user_id AND n.k = p.k + 1)))
+SELECT user_id, event_id, island, CAST(col AS INTEGER) AS col, CAST(max(col) OVER (PARTITION BY user_id, island) + 1 AS INTEGER) AS cols FROM packed"""
+
+
+@query("timeline_columns", _SPANS.replace("WITH ", "WITH RECURSIVE ", 1) + _PACKED)
 def timeline_columns(spark, sf_dir):
     return layout.packed_columns(spans(spark, sf_dir), "user_id", "event_id", "s", "e")
 
