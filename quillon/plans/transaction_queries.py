@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..streaming import transaction
+from ..streaming import leases, transaction
 from ..streaming.events import shared_folder
 from .catalog import query, table
 
@@ -80,3 +80,32 @@ def run_cache(spark, sf_dir):
 def run_backfill(spark, sf_dir):
     """Who joins late is sent all older rows of the crew once, then what comes."""
     return ran(spark, sf_dir, "sent").groupBy("batch", "member").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+#: By rule: one row in 61 finds its reader gone, one in 4 is held at a try, one in 13 is released.
+VERDICT = "CASE WHEN id % 61 = 0 THEN 'prune' WHEN (id + tries) % 4 = 0 THEN 'hold' WHEN id % 13 = 5 THEN 'release' ELSE 'ack' END"
+PUSHES = {"lines": leases.LINES, "pruned": "reader long"}
+
+
+def push(budget=None):
+    def build_round(number, rows, held):
+        new = rows.select(F.col("event_id").cast("long").alias("id"), F.col("user_id").cast("long").alias("reader"), F.col("ts").cast("timestamp_ntz").alias("at"))
+        lines = leases.round_of(leases.due(new, held("lines"), number), held("pruned"), number, F.expr(VERDICT), budget=budget)
+        return {"lines": lines, "pruned": lines.filter("state = 'pruned'").select("reader").distinct()}
+
+    return build_round
+
+
+@query(
+    "push_rounds",
+    _BATCHES
+    + """, last AS (SELECT max(batch) AS last FROM e), p AS (SELECT user_id, min(batch) AS gone FROM e WHERE event_id % 61 = 0 GROUP BY user_id),
+r AS (SELECT e.event_id AS id, e.batch + j AS batch, j, gone, CASE WHEN e.batch + j > gone THEN 'dropped' WHEN event_id % 61 = 0 THEN 'pruned' WHEN (event_id + j) % 4 = 0 THEN CASE WHEN j = 2 THEN 'expired' ELSE 'held' END WHEN event_id % 13 = 5 THEN 'released' ELSE 'sent' END AS state
+  FROM e LEFT JOIN p USING (user_id), range(3) t(j)),
+f AS (SELECT *, coalesce(bool_and(state = 'held') OVER (PARTITION BY id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS reached FROM r)
+SELECT CAST(batch AS BIGINT) AS batch, state, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM f, last WHERE reached AND batch <= last GROUP BY ALL""",
+)
+def push_rounds(spark, sf_dir):
+    folder = shared_folder(spark)
+    transaction.drain(feed(spark, sf_dir, folder), folder, PUSHES, push())
+    return transaction.committed(spark, folder, "lines", PUSHES["lines"]).groupBy("batch", "state").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
