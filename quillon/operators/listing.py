@@ -69,11 +69,17 @@ def closed_values(answers: DataFrame, field: str, allowed: list[str]) -> DataFra
     return answers.groupBy(F.col(field).alias("value")).agg(F.count("*").alias("n")).withColumn("ok", F.coalesce(F.col("value").isin(allowed), F.lit(False)))
 
 
+#: The signs of Windows-1252 for the bytes that are control characters in Latin 1, and these characters.
+WINDOWS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+CONTROLS = "".join(map(chr, [0x80, *range(0x82, 0x8D), 0x8E, *range(0x91, 0x9D), 0x9E, 0x9F]))
+
+
 def repaired(s: Column) -> Column:
-    """Text whose UTF-8 was read as Latin 1, read again; others as they are."""
-    again = F.decode(F.encode(s, "ISO-8859-1"), "UTF-8")
-    broken = s.rlike("[ÂÃ][\u0080-¿]") & ~s.rlike("[^\u0000-ÿ]")
-    return F.when(broken & ~F.contains(again, F.lit("�")), again).otherwise(s)
+    """Text whose UTF-8 was read as Windows-1252, read again; others, and what that cannot have made, as they are."""
+    plain = F.translate(s, WINDOWS, CONTROLS)
+    again = F.encode(F.regexp_replace(plain, "[^\u0000-ÿ]", "?"), "ISO-8859-1").cast("string")
+    broken = s.rlike("[Â-ô]") & ~s.rlike("[\u0080-\u009f]") & ~plain.rlike("[^\u0000-ÿ]") & F.is_valid_utf8(again)
+    return F.when(broken, again).otherwise(s)
 
 
 def log_faults(log: DataFrame, ids: DataFrame, order: str, id_: str, stamp: str, run: str) -> DataFrame:

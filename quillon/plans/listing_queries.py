@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.time import con_day
-from ..operators import interval, labelling, listing
+from ..operators import interval, labelling, listing, ordered
 from .catalog import query, table
 
 
@@ -59,10 +58,10 @@ def listing_rows(spark, sf_dir):
     return rows.select("event_id", "con_day", "clean_room", "people_text", listing.room_words(F.col("event_type"), F.col("clean_room"), ["click"]).alias("place"))
 
 
-@query("tagger_answers", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'answer ' || lang END AS answer FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL")
+@query("tagger_answers", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'answer ' || lang END AS answer FROM documents")
 def tagger_answers(spark, sf_dir):
     """Inputs of a labeller with the cached answer of their key."""
-    d = table(spark, sf_dir, "documents").filter("lang IS NOT NULL AND text IS NOT NULL")
+    d = table(spark, sf_dir, "documents")
     asked = d.select("doc_id", "lang", listing.tagger_input(F.col("doc_id").cast("string"), F.col("lang"), F.array("source"), F.col("text")).alias("i")).select("doc_id", "lang", "i.*").withColumn("key", labelling.input_key("title", "kind", "text"))
     cache = asked.filter("doc_id % 3 = 0").select("key", F.concat(F.lit("answer "), "lang").alias("answer")).distinct()
     return asked.join(cache, "key", "left").select("doc_id", "answer")
@@ -73,12 +72,12 @@ def closed_values(spark, sf_dir):
     return listing.closed_values(table(spark, sf_dir, "part"), "p_type", ["SMALL", "LARGE", "PROMO"])
 
 
-@query("repaired_texts", "SELECT doc_id, md5(text) AS text FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\xff]') AND NOT regexp_matches(text, '[ÂÃ]')")
+@query("repaired_texts", "SELECT doc_id, md5(text) AS text FROM documents")
 def repaired_texts(spark, sf_dir):
-    """Texts in Latin letters, of every second one the UTF-8 read as Latin 1."""
-    d = table(spark, sf_dir, "documents").filter("NOT text RLIKE '[^\\\\u0000-\\\\u00ff]' AND NOT text RLIKE '[ÂÃ]'")
-    broken = F.when(F.col("doc_id") % 2 == 0, F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")).otherwise(F.col("text"))
-    return d.select("doc_id", F.md5(listing.repaired(broken)).alias("text"))
+    """All texts, of every second one the UTF-8 read as Windows-1252, where that has a sign for every byte."""
+    misread = F.translate(F.decode(F.encode("text", "UTF-8"), "ISO-8859-1"), listing.CONTROLS, listing.WINDOWS)
+    broken = F.when((F.col("doc_id") % 2 == 0) & ~misread.rlike("[\u0080-\u009f]"), misread).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(listing.repaired(broken)).alias("text"))
 
 
 @query("log_faults", "SELECT 'unknown id' AS fault, count(*) AS n FROM lineitem WHERE l_orderkey % 7 = 3 UNION ALL SELECT 'stamp after run', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate > l_shipdate - INTERVAL 30 DAY HAVING count(*) > 0")
@@ -175,8 +174,8 @@ def mapped_labels(spark, sf_dir):
 @query("sorted_titles", "SELECT p_partkey, row_number() OVER (ORDER BY p_size, lower(p_name), p_partkey) AS r FROM part")
 def sorted_titles(spark, sf_dir):
     """Places in a listing by start and then by title, whatever its case."""
-    w = Window.orderBy("p_size", F.lower("p_name"), "p_partkey")  # one listing
-    return table(spark, sf_dir, "part").withColumn("p_name", F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name"))).select("p_partkey", F.row_number().over(w).cast("bigint").alias("r"))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("p_name"))
+    return ordered.numbered(p, [F.col("p_size"), F.lower("p_name"), F.col("p_partkey")]).select("p_partkey", "r")
 
 
 @query("census_report", "SELECT 'documents' AS section, 'all' AS name, count(*) AS n FROM documents UNION ALL SELECT 'language', coalesce(lang, 'none'), count(*) FROM documents GROUP BY 2 UNION ALL SELECT 'length', CASE WHEN n_chars <= 500 THEN 'short' WHEN n_chars <= 5000 THEN 'middle' ELSE 'long' END, count(*) FROM documents WHERE n_chars IS NOT NULL GROUP BY 2 UNION ALL SELECT 'labelled', CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' ELSE 'other' END, count(*) FROM labels GROUP BY 2 UNION ALL SELECT 'unlabelled', 'all', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

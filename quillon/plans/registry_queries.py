@@ -109,9 +109,9 @@ def strongest_values(spark, sf_dir):
     return flags.select("l_orderkey", registry.strongest(F.col("f"), ("R", "A")).alias("top"), "any_f", "all_f")
 
 
-@query("people_candidates", "WITH e AS (SELECT user_id, event_type, CAST(value AS INTEGER) % 9 AS title, event_id FROM events WHERE user_id < 40), n AS (SELECT user_id, event_type, count(*) AS n FROM e GROUP BY ALL), r AS (SELECT user_id, string_agg(event_type || ':' || n, ',' ORDER BY event_type) AS roles FROM n GROUP BY 1), t AS (SELECT user_id, string_agg(title, ',' ORDER BY a) AS titles FROM (SELECT user_id, title, min(event_id) AS a FROM e GROUP BY ALL) GROUP BY 1) SELECT user_id, roles, titles FROM r JOIN t USING (user_id)")
+@query("people_candidates", "WITH e AS (SELECT user_id, event_type, CAST(value AS INTEGER) % 9 AS title, event_id FROM events), n AS (SELECT user_id, event_type, count(*) AS n FROM e GROUP BY ALL), r AS (SELECT user_id, string_agg(event_type || ':' || n, ',' ORDER BY event_type) AS roles FROM n GROUP BY 1), t AS (SELECT user_id, string_agg(title, ',' ORDER BY a) AS titles FROM (SELECT user_id, title, min(event_id) AS a FROM e GROUP BY ALL) GROUP BY 1) SELECT user_id, roles, titles FROM r JOIN t USING (user_id)")
 def people_candidates(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("user_id < 40").withColumn("title", F.expr("CAST(round(value) AS INT) % 9").cast("string"))
+    e = table(spark, sf_dir, "events").withColumn("title", F.expr("CAST(bround(value) AS INT) % 9").cast("string"))
     found = registry.candidates(e, "user_id", "event_type", "title", "event_id")
     return found.select("user_id", F.array_join(F.transform("roles", lambda x: F.concat_ws(":", x["event_type"], x["n"].cast("string"))), ",").alias("roles"), F.array_join("titles", ",").alias("titles"))
 

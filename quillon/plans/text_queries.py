@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import aggregate, quality, recommend, search
+from ..operators import aggregate, ordered, quality, recommend, search
 from .catalog import query, table
 
 _NORM = r"regexp_replace(lower(trim(regexp_replace({0}, '[ \t\n\r\f]+', ' ', 'g'))), '[ .,;:!?]+$', '')"
@@ -97,7 +97,7 @@ def title_terms(spark, sf_dir):
 
 @query("upper_median", "WITH r AS (SELECT l_linestatus, l_quantity, row_number() OVER (PARTITION BY l_linestatus ORDER BY l_quantity) AS r, count(*) OVER (PARTITION BY l_linestatus) AS n FROM lineitem) SELECT l_linestatus, l_quantity AS median, n FROM r WHERE r = n // 2 + 1")
 def upper_median(spark, sf_dir):
-    return aggregate.upper_median(table(spark, sf_dir, "lineitem"), "l_linestatus", "l_quantity")
+    return ordered.exact_medians(table(spark, sf_dir, "lineitem"), "l_linestatus", "l_quantity")
 
 
 @query("keyword_in_context", "SELECT doc_id, CASE WHEN strpos(text, 'license') > 41 THEN '…' ELSE '' END || substr(text, greatest(strpos(text, 'license') - 40, 1), least(strpos(text, 'license') + 47, length(text) + 1) - greatest(strpos(text, 'license') - 40, 1)) || CASE WHEN least(strpos(text, 'license') + 47, length(text) + 1) <= length(text) THEN '…' ELSE '' END AS context FROM documents WHERE strpos(text, 'license') > 0")

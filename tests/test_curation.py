@@ -32,3 +32,32 @@ def test_link_classes(spark):
     pairs = spark.createDataFrame([("a", "a"), ("a", None), (None, "a"), ("a", "b"), ("b", "a"), ("a", "c"), (None, None)], "old string, new string")
     closure = spark.createDataFrame([("b", "a")], "id string, ancestor string")
     assert sorted(r.moved for r in curation.link_class(pairs, closure, "old", "new").collect()) == ["gained", "lost", "narrower", "other", "same", "same", "wider"]
+
+
+def test_repaired(spark):
+    """What Windows-1252 makes of UTF-8, curly quotes included; honest texts and what no misreading can have made stay."""
+    from quillon.operators import listing
+
+    texts = ["café", "“quoted – it’s", "naïve Ω", "plain", "", None, "€5 Straße", "Ã", "Â·", "日本", "ÃÃ", "é"]
+    misread = [t if t is None else t.encode().decode("cp1252") for t in texts[:5]] + [None, "€5 Straße".encode().decode("cp1252")]
+
+    def plain(t):
+        try:
+            return t if t is None else t.encode("cp1252").decode()
+        except (UnicodeEncodeError, UnicodeDecodeError):
+            return t
+
+    for rows in (texts, misread):
+        got = [r.t for r in spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "k int, t string").select("k", listing.repaired(F.col("t")).alias("t")).orderBy("k").collect()]
+        assert got == [plain(t) for t in rows]
+    assert plain(misread[1]) == texts[1]
+
+
+def test_merge_of_repeated_members(spark):
+    """A group's rows are many, its members few; null members are none."""
+    from quillon.operators import aggregate
+
+    rows = [("a", k, f"t{k % 3}", "x" * (k % 4), None if k % 5 == 0 else f"m{k % 7}") for k in range(1, 400)] + [(None, 1000, None, None, None)]
+    got = {r.group_key: r for r in aggregate.group_merge(spark.createDataFrame(rows, "g string, r long, t string, x string, m string").repartition(6), "g", "r", ["t"], "x", "m").collect()}
+    assert (got["a"].r, got["a"].n, got["a"].t, got["a"].members) == (1, 399, "t1", ["m1", "m2", "m3", "m4", "m6", "m0", "m5"])
+    assert got["a"].n == 399 and got[None].members == []
