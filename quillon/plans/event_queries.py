@@ -108,14 +108,20 @@ def peak_concurrency(spark, sf_dir):
 @query(
     "connection_band",
     _SPANS
-    + """, n AS (SELECT user_id, event_id, s, lag(e) OVER (PARTITION BY user_id ORDER BY s, event_id) AS prev_e FROM spans), g AS (SELECT user_id, event_id, floor((epoch_us(s) - epoch_us(prev_e)) / 60000000) AS gap FROM n WHERE prev_e IS NOT NULL)
-SELECT user_id, event_id, CAST(gap AS BIGINT) AS gap, CASE WHEN gap < 0 THEN 'overlap' WHEN gap < 12 THEN 'cant' WHEN gap < 22 THEN 'tight' END AS band FROM g""",
+    + """, w AS (SELECT a, b, 4 + 2 * a + 3 * b AS walk FROM range(5) x(a), range(5) y(b) WHERE a < b AND (a + b) % 3 <> 0),
+n AS (SELECT user_id, event_id, s, event_id % 5 AS here, lag(event_id % 5) OVER (PARTITION BY user_id ORDER BY s, event_id) AS there, lag(e) OVER (PARTITION BY user_id ORDER BY s, event_id) AS prev_e FROM spans),
+g AS (SELECT user_id, event_id, floor((epoch_us(s) - epoch_us(prev_e)) / 60000000) AS gap, CASE WHEN here = there THEN 0 ELSE coalesce(walk, 12) END AS walk FROM n LEFT JOIN w ON w.a = least(here, there) AND w.b = greatest(here, there) WHERE prev_e IS NOT NULL)
+SELECT user_id, event_id, CAST(gap AS BIGINT) AS gap, CAST(walk AS BIGINT) AS walk, CASE WHEN gap < 0 THEN 'overlap' WHEN gap < walk THEN 'cant' WHEN gap < walk + 10 THEN 'tight' END AS band FROM g""",
 )
 def connection_band(spark, sf_dir):
-    near = interval.with_neighbours(spans(spark, sf_dir), ["user_id"], "s", "event_id", ["e"]).filter("prev_e IS NOT NULL")
+    """From one session to the next: the gap against the walk between their buildings, 12 minutes where no walk is known."""
+    walks = spark.range(25).selectExpr("id div 5 AS wa", "id % 5 AS wb").filter("wa < wb AND (wa + wb) % 3 <> 0").selectExpr("wa", "wb", "4 + 2 * wa + 3 * wb AS walk")
+    placed = spans(spark, sf_dir).withColumn("here", (F.col("event_id") % 5).cast("long"))
+    near = interval.with_neighbours(placed, ["user_id"], "s", "event_id", ["e", "here"]).filter("prev_e IS NOT NULL")
+    walked = interval.symmetric_lookup(near, walks.withColumnsRenamed({"wa": "here", "wb": "prev_here"}), "here", "prev_here", "walk", 12)
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     gap = F.floor((micros("s") - micros("prev_e")) / 60_000_000).cast("bigint")
-    return near.select("user_id", "event_id", gap.alias("gap"), interval.connection(gap, F.lit(12)).alias("band"))
+    return walked.select("user_id", "event_id", gap.alias("gap"), F.col("walk").cast("long").alias("walk"), interval.connection(gap, F.col("walk")).alias("band"))
 
 
 @query(
