@@ -11,11 +11,14 @@ from pyspark.sql.types import StringType
 
 from .text import collapsed
 
-#: What is set before or behind a person's name, small words that end no search, and marks of a panel line.
-HONORIFICS = ("dr", "mr", "mrs", "ms", "prof", "sir", "rev", "capt")
-CREDENTIALS = ("phd", "md", "esq", "jr", "sr", "ii", "iii", "dvm", "jd")
-STOP_WORDS = ("a", "an", "and", "at", "by", "for", "in", "is", "of", "on", "or", "the", "to", "with", "what", "where", "when")
-ORDINALS = ("first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth")
+#: What is set before or behind a person's name, words that end no search, and ordinals.
+HONORIFICS = tuple("dr mr mrs ms miss prof professor capt captain col colonel rev sir lt sgt maj gen cmdr".split())
+CREDENTIALS = tuple("jr sr ii iii iv phd md esq dds dvm mba jd edd".split())
+STOP_WORDS = tuple(
+    "a an the and or of in on at to for with from by is are be stuff things thing something anything some any my me i about into all "
+    "what whats where when who which there happening going find show how can do does should will want wanna gonna".split()
+)
+ORDINALS = tuple("first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth sixteenth seventeenth eighteenth nineteenth twentieth".split())
 
 
 @F.pandas_udf(StringType())
@@ -65,14 +68,12 @@ def person_parts(name: Column) -> Column:
     return F.struct(F.replace(bare, F.lit(" "), F.lit("-")).alias("key"), F.array_except(F.split(plain, " "), F.split(bare, " ")).alias("aside"))
 
 
-def roles(name: Column, deep: int = 3) -> Column:
-    """struct(name, role): parentheses are taken off the end of a name, one after another; the role is the outermost one."""
-    rest, role = F.trim(name), F.lit("")
-    for _ in range(deep):
-        found = F.regexp_extract(rest, r"\(([^()]*)\)\s*$", 1)
-        role = F.when(role == "", F.trim(found)).otherwise(role)
-        rest = F.trim(F.regexp_replace(rest, r"\s*\([^()]*\)\s*$", ""))
-    return F.struct(rest.alias("name"), F.when(role != "", role).alias("role"))
+def roles(name: Column) -> Column:
+    """struct(name, role): all parentheses at the end of a name are taken off, however many; the role is the outermost one that
+    says something, null without any."""
+    tail = r"(?:\s*+\([^()]*+\))++\s*$"
+    said = F.filter(F.transform(F.regexp_extract_all(F.regexp_extract(name, f"({tail})", 1), F.lit(r"\(([^()]*)\)"), F.lit(1)), lambda x: F.trim(x)), lambda x: x != "")
+    return F.struct(F.trim(F.regexp_replace(name, tail, "")).alias("name"), F.try_element_at(said, F.lit(-1)).alias("role"))
 
 
 def panel_names(line: Column, mark: str = r"(?i)(?:additional )?panelists?:") -> Column:

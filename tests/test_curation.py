@@ -61,3 +61,12 @@ def test_merge_of_repeated_members(spark):
     got = {r.group_key: r for r in aggregate.group_merge(spark.createDataFrame(rows, "g string, r long, t string, x string, m string").repartition(6), "g", "r", ["t"], "x", "m").collect()}
     assert (got["a"].r, got["a"].n, got["a"].t, got["a"].members) == (1, 399, "t1", ["m1", "m2", "m3", "m4", "m6", "m0", "m5"])
     assert got["a"].n == 399 and got[None].members == []
+
+
+def test_roles_of_any_depth(spark):
+    from quillon.functions import names
+
+    rows = [("Ann Lee", None), ("Ann Lee (Judge)", "Judge"), ("Ann (B) Lee", None), ("Ann (a) (b)(c)  (d) ( ) ", "d"), ("(x)", "x"), ("", None), (None, None), ("A ((b))", None), ("Ann" + " (z)" * 50, "z")]
+    got = spark.createDataFrame([(k, n) for k, (n, _) in enumerate(rows)], "k int, n string").select("k", names.roles(F.col("n")).alias("r")).orderBy("k").collect()
+    assert [r.r.role for r in got] == [role for _, role in rows]
+    assert [r.r.name for r in got] == ["Ann Lee", "Ann Lee", "Ann (B) Lee", "Ann", "", "", None, "A ((b))", "Ann"]
