@@ -57,6 +57,27 @@ def calendar_entries(spark, sf_dir):
     return calendar.entries(o, "o_orderkey", "title", "o_orderdate", "until", "o_orderstatus", "America/New_York")
 
 
+_CRLF = "chr(13) || chr(10)"
+
+
+@query(
+    "calendar_file",
+    f"""
+WITH e AS (SELECT o_orderkey, o_orderdate, array_to_string(['BEGIN:VEVENT', 'UID:' || o_orderkey, 'DTSTART;TZID=America/New_York:' || strftime(o_orderdate, '%Y%m%dT%H%M%S'), 'DTEND;TZID=America/New_York:' || strftime(o_orderdate, '%Y%m%dT%H%M%S'), 'SUMMARY:' || o_orderpriority, 'LOCATION:' || o_orderstatus, 'END:VEVENT'], {_CRLF}) AS value FROM orders)
+SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS line, value FROM e
+UNION ALL SELECT 0, array_to_string(['BEGIN:VCALENDAR', 'VERSION:2.0', 'PRODID:-//quillon//listing//EN', 'CALSCALE:GREGORIAN', 'BEGIN:VTIMEZONE', 'TZID:America/New_York',
+ 'BEGIN:DAYLIGHT', 'TZOFFSETFROM:-0500', 'TZOFFSETTO:-0400', 'TZNAME:EDT', 'DTSTART:20200308T020000', 'RRULE:FREQ=YEARLY;BYMONTH=3;BYDAY=2SU', 'END:DAYLIGHT',
+ 'BEGIN:STANDARD', 'TZOFFSETFROM:-0400', 'TZOFFSETTO:-0500', 'TZNAME:EST', 'DTSTART:20201101T020000', 'RRULE:FREQ=YEARLY;BYMONTH=11;BYDAY=1SU', 'END:STANDARD', 'END:VTIMEZONE'], {_CRLF})
+UNION ALL SELECT count(*) + 1, 'END:VCALENDAR' FROM orders
+""",
+)
+def calendar_file(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    made = calendar.entries(o.withColumn("until", F.col("o_orderdate")), "o_orderkey", "o_orderpriority", "o_orderdate", "until", "o_orderstatus", "America/New_York")
+    dated = made.join(o.select("o_orderkey", "o_orderdate"), "o_orderkey")
+    return calendar.file_lines(dated, [F.col("o_orderdate"), F.col("o_orderkey")], "America/New_York", "-//quillon//listing//EN")
+
+
 @query(
     "place_rooms",
     """
