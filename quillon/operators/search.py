@@ -54,7 +54,11 @@ def fuzzy_terms(vocabulary: DataFrame, query: list[str], share: float = 0.2, pre
     asked = spark.createDataFrame([(q, edits[q]) for q in words], "query string, edits int")
     starts = vocabulary.select("term", F.explode(F.array_distinct(F.array(*[F.substring("term", 1, n) for n in lengths]))).alias("query")) if words else vocabulary.select("term", F.lit("").alias("query")).limit(0)
     met = starts.join(F.broadcast(asked), "query")  # the query's words
-    for d in sorted({e for e in edits.values() if e}):
+    # Deletions multiply with the edits, so words of fifteen letters and more meet the terms of fitting length one by one.
+    far = asked.filter(F.col("edits") > 2)
+    if any(e > 2 for e in edits.values()):
+        met = met.unionByName(vocabulary.select("term").join(F.broadcast(far), F.abs(F.length("term") - F.length("query")) <= F.col("edits")).select("query", "term", "edits"))
+    for d in sorted({e for e in edits.values() if 0 < e <= 2}):
         own = [len(q) for q in words if edits[q] == d]
         keys = vocabulary.filter(F.length("term").between(min(own) - d, max(own) + d)).select("term", F.explode(shortened(F.col("term"), d)).alias("key"))
         wanted = asked.filter(F.col("edits") == d).select("query", "edits", F.explode(shortened(F.col("query"), d)).alias("key"))
