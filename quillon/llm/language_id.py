@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from ._common import text_arrays, tidy
 
 UND = "und"
-#: Bounds of the fitted sample: documents a language, bytes of a whole text that is taken, bytes a language.
-SAMPLE_DOCS, SAMPLE_TEXT, SAMPLE_BYTES = 96, 4_096, 32_768
+#: Bounds of the fitted sample: rows a language, characters a passage (cut at white space where there is any), bytes a language.
+SAMPLE_ROWS, PASSAGE, SAMPLE_BYTES = 96, 512, 32_768
 PIECE, SLICE = 1024, 2 << 20
 #: Rounds in which pieces are run again together; chains of pieces that go on changing after that are run one by one.
 ROUNDS = 4
@@ -183,23 +183,31 @@ def parse_counts(automata: list[SuffixAutomaton], data: np.ndarray, offs: np.nda
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> list[tuple[str, bytes]]:
-    """The sample of each language: of SAMPLE_DOCS rows in an order of their hash, the whole texts that fit into SAMPLE_BYTES.
-    Texts of more than SAMPLE_TEXT bytes are only taken, as far as they fit, where a language has no shorter one."""
-    size = F.octet_length(text)
-    usable = labelled.filter(F.col(lang).isNotNull() & (size > 0)).select(
-        F.col(lang).alias("lang"), F.when(size <= SAMPLE_TEXT, F.col(text)).otherwise(F.substring(text, 1, SAMPLE_BYTES)).alias("text"),
-        (size > SAMPLE_TEXT).alias("long"), F.xxhash64(F.lit("sample"), F.col(doc_id), F.col(text)).alias("h"),
+    """The sample of each language: passages of SAMPLE_ROWS rows chosen by hash, whatever their length.
+
+    The whole text of a chosen row is cut into passages, between characters always; first one passage of every row is
+    taken, then a second one, and so on in an order of hashes, as long as they fit into SAMPLE_BYTES. Equal rows count once.
+    """
+    spark = labelled.sparkSession
+    usable = labelled.filter(F.col(lang).isNotNull() & (F.octet_length(text) > 0)).select(
+        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit("sample"), F.col(doc_id), F.col(text)).alias("h")
     )
-    ranked = usable.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("long", "h"))).filter(F.col("n") <= SAMPLE_DOCS)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = usable.select("lang", "h").distinct().withColumn("n", place).filter(F.col("n") <= SAMPLE_ROWS).select("lang", "h").collect()
+    if not chosen:
+        return []
+    picked = spark.createDataFrame(chosen, "lang string, h bigint")  # fewer bytes than the sample itself
+    rows = usable.join(F.broadcast(picked), ["lang", "h"]).dropDuplicates(["lang", "h"])
+    cut = F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{PASSAGE}}}(?=\s|$)|.{{1,{PASSAGE}}}"), F.lit(0))
+    passages = rows.select("lang", "h", F.posexplode(cut).alias("at", "passage")).withColumn("g", F.xxhash64("h", "at"))
+    turn = passages.withColumn("turn", F.row_number().over(Window.partitionBy("lang", "h").orderBy("g")))
+    order = Window.partitionBy("lang").orderBy("turn", "g")
+    held = F.sum(F.octet_length("passage") + 1).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    taken = turn.select("lang", "passage", "turn", "g", held.alias("held")).filter(F.col("held") <= SAMPLE_BYTES)
     samples: dict[str, bytes] = {}
-    for row in ranked.select("lang", "n", "text", "long").orderBy("lang", "n").collect():
-        raw = row["text"].encode()
-        data = fold(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tobytes() + b"\n"
-        held = samples.get(row["lang"], b"")
-        if not held:
-            samples[row["lang"]] = data[:SAMPLE_BYTES]
-        elif not row["long"] and len(held) + len(data) <= SAMPLE_BYTES:
-            samples[row["lang"]] = held + data
+    for row in taken.orderBy("lang", "turn", "g").collect():
+        raw = row["passage"].encode()
+        samples[row["lang"]] = samples.get(row["lang"], b"") + fold(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tobytes() + b"\n"
     return sorted(samples.items())
 
 

@@ -206,6 +206,19 @@ def test_languages(spark, sf, odd):
     assert all(got[k] == ("und", 0.0) for k in (1, 2, 12, 13)) and all(0 <= s <= 1 for _, s in got.values())
 
 
+def test_sample_takes_long_texts_and_cuts_between_characters(spark):
+    """A language of long texts only, one without white space, copies of a row, and short texts beside a long one."""
+    long = " ".join("".join(chr(97 + int(d)) for d in f"{k:04d}") + "é" for k in range(9000))
+    rows = [(1, long, "fr"), (2, "語" * 30_000, "ja"), *[(3, "kurz und gut", "de")] * 500, (4, "x" * 9000 + " ende", "de"), (5, "", "la"), (6, None, "la"), (7, "no language", None)]
+    samples = dict(language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert sorted(samples) == ["de", "fr", "ja"]
+    assert all(len(s) <= language_id.SAMPLE_BYTES + 1 and s.decode() for s in samples.values())
+    assert len(samples["fr"]) > 30_000 and len(samples["ja"]) > 30_000  # filled from one text
+    firsts = [p.split()[0] for p in samples["fr"].decode().split("\n") if p]
+    assert max(firsts) > "i" and min(firsts) < "b"  # from the whole text, not from its beginning
+    assert samples["de"].count(b"kurz") == 1 and b"ende" in samples["de"]
+
+
 def test_parse_of_a_long_text_is_that_of_the_text():
     """Pieces leave no trace: runs, periods and parts of the sample itself, longer than a piece."""
     sample = (b"the cold quay holds seven ferries " * 40 + bytes(range(97, 123)) * 30)[:3000]
