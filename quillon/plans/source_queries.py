@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import geometry, identity, labelling, layout, places
+from ..operators import geometry, identity, labelling, layout, listing, places
 from ..sources import calendar, lines, pages
 from ..streaming import events as streams
 from .catalog import query, table
@@ -31,6 +31,48 @@ def page_records(spark, sf_dir):
     return pages.records(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
+#: The pages of the table as detail pages: their article as a section, their menu as people and tracks; titles of even pages
+#: and articles of every third have their UTF-8 read as Windows-1252, where that has a sign for every byte.
+_NO_SIGN = "'^(..)*(81|8D|8F|90|9D)'"
+
+
+@query(
+    "page_details",
+    rf"""
+WITH p AS (SELECT page_id, url, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h, regexp_extract(html, '(?s)<article>.*?</h1>(.*)</article>', 1) AS a,
+ regexp_extract_all(html, '<li><a href="([^"]*)">(.*?)</a></li>', 1) AS hrefs, regexp_extract_all(html, '<li><a href="([^"]*)">(.*?)</a></li>', 2) AS says FROM pages),
+q AS (SELECT *, regexp_extract(a, '(?s)^((<p>([^<]|<b>|<br>)*</p>)*)(.*)$', 1) AS shut, regexp_extract(a, '(?s)^((<p>([^<]|<b>|<br>)*</p>)*)(.*)$', 4) AS rest FROM p),
+r AS (SELECT *, regexp_replace(replace(replace(shut, '</p>', chr(10)) || rest, '<br>', chr(10)), '<[^>]*>', '', 'g') AS lines FROM q),
+n AS (SELECT page_id, url, list_transform([h, lines, array_to_string(hrefs, chr(1)), array_to_string(says, chr(1))], lambda x: replace(replace(x, '&quot;', '"'), '&amp;', '&')) AS t,
+ page_id % 2 = 0 AND h <> '' AND NOT regexp_matches(hex(encode(h)), {_NO_SIGN}) AND strlen(h) > length(h) AS bad_title,
+ page_id % 3 = 0 AND NOT regexp_matches(hex(encode(a)), {_NO_SIGN}) AND strlen(a) > length(a) AS bad_article FROM r)
+SELECT page_id, trim(regexp_replace(t[1], '\s+', ' ', 'g')) AS title, url AS location, 'day ' || page_id % 7 AS date_text, '' AS duration_text,
+ md5(array_to_string(list_filter(list_transform(string_split(t[2], chr(10)), lambda l: trim(regexp_replace(l, '\s+', ' ', 'g'))), lambda l: l <> ''), chr(10))) AS description,
+ array_to_string(list_transform(range(1, 1 + len(string_split(t[3], chr(1)))), lambda i: string_split(t[3], chr(1))[i] || ': ' || string_split(t[4], chr(1))[i]), chr(10)) AS speakers,
+ replace(t[4], chr(1), chr(10)) AS tracks, CAST(bad_title AS BIGINT) + CAST(bad_article AS BIGINT) AS repaired FROM n
+""",
+)
+def page_details(spark, sf_dir):
+    def misread(s, when):
+        wrong = F.translate(F.decode(F.encode(s, "UTF-8"), "ISO-8859-1"), listing.CONTROLS, listing.WINDOWS)
+        return F.when(when & ~wrong.rlike("[\u0080-\u009f]"), wrong).otherwise(s)
+
+    entry = r'<li><a href="([^"]*)">(.*?)</a></li>'
+    menu = F.regexp_extract("html", "(?s)<nav><ul>(.*?)</ul></nav>", 1)
+    title = misread(F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1), F.col("page_id") % 2 == 0)
+    article = misread(F.regexp_extract("html", "(?s)<article>.*?</h1>(.*)</article>", 1), F.col("page_id") % 3 == 0)
+    page = F.concat(
+        F.split_part("html", F.lit("<nav>"), F.lit(1)), F.lit('<h1 class="big header_title">'), title, F.lit("</h1>"),
+        F.lit('<div class="template_content"><table><tr><td>Location</td><td>'), F.col("url"), F.lit("</td></tr><tr><td> DATE </td><td>day  <b>"), F.col("page_id") % 7,
+        F.lit('</b></td></tr><tr><td>lone</td></tr></table><div class="section">'), article,
+        F.lit('</div><div class="section"><h2 class="section_heading">Speakers</h2><ul>'), F.regexp_replace(menu, entry, '<li><b class="line one">$1</b><b class="two line">$2</b></li>'),
+        F.lit('</ul></div><div class="section wide"><h2 class="section_heading">Tracks</h2>'), F.regexp_replace(menu, entry, '<a href="$1">$2</a>'), F.lit("</div></div><p>behind"),
+    )
+    found = pages.details(table(spark, sf_dir, "pages").select("page_id", page.alias("html")), "page_id", "html")
+    people = F.array_join(F.transform("speakers", lambda s: F.concat(s["role"], F.lit(": "), s["name"])), "\n")
+    return found.withColumns({"description": F.md5("description"), "speakers": people, "tracks": F.array_join("tracks", "\n")})
+
+
 @query(
     "order_lines_json",
     "SELECT CAST(json_object('o_orderkey', o_orderkey, 'o_orderstatus', o_orderstatus, 'o_orderpriority', o_orderpriority) AS VARCHAR) AS value FROM orders",

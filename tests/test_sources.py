@@ -24,6 +24,29 @@ def test_page_record_reads_each_text_once(spark):
     assert got[2].description == "" and got[3].links == []
 
 
+def test_detail_page_has_sections_outermost_paragraphs_and_repairs(spark):
+    def section(heading, inside):
+        return f'<div class="section">{heading and f"<h2 class=section_heading>{heading}</h2>"}{inside}</div>'
+
+    html = (
+        '<h1>Other</h1><h1 class="x header_title">CafÃ©  night</h1><table><tr><td>Location</td><td>outside</td></tr></table><div class="template_content"><script>x="<p>no</p>"</script>'
+        "<table><tr><td>LOCATION </td><td>Hall&nbsp;&amp; Room</td></tr><tr><td>Location</td><td>Last <i>room</i></td><td>x</td></tr><tr><td>Duration</td></tr></table>"
+        + section("", "<p> </p>") + section("", "<p>one<br><p>two â€“ <b>three</b></p></p><p>four</span>") + section("", "<p>later</p>")
+        + section("Speakers", '<ul><li><i class="line one">Host</i><i class="line two">Ann Ã©</i><li><i class="line two">Bo</i></li></ul><li><i class="line one">Nobody</i>')
+        + section(" SPEAKERS", '<li><i class="line two one">Cy</i></li>') + section("Tracks", "<a>gone</a>") + section("Tracks", "<a>Film</a><a> </a><a>TV<br>2</a>") + "</div>" + section("", "<p>behind</p>")
+    )
+    df = spark.createDataFrame([("a", html), ("b", None), ("c", ""), ("d", "<p>" * 3000 + "x" + "<li>" * 3000), ("e", section("", "<p>no content part"))], "page string, html string")
+    got = {r.page: r for r in pages.details(df, "page", "html").collect()}
+    a = got["a"]
+    assert (a.title, a.location, a.date_text, a.duration_text) == ("Café night", "Last room", "", "")
+    assert a.description == "one\ntwo – three\nfour"  # of nested paragraphs the outer one, and the first section that says anything
+    assert [tuple(s) for s in a.speakers] == [("Ann é", "Host"), ("Bo", ""), ("Cy", "Cy")] and a.tracks == ["Film", "TV2"]
+    assert a.repaired == 3  # title, description, one name
+    assert all((got[k].title, got[k].description, got[k].speakers, got[k].tracks, got[k].repaired) == ("", "", [], [], 0) for k in "bcd")
+    assert got["e"].description == "no content part"
+    assert pages.details(df.limit(0), "page", "html").count() == 0
+
+
 def test_page_records_give_one_row_a_page(spark, sf):
     got = source_queries.page_records(spark, sf)
     assert got.count() == spark.read.parquet(f"{sf}/pages.parquet").count()
