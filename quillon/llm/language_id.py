@@ -30,6 +30,8 @@ from ._common import text_arrays, tidy
 UND = "und"
 #: Bounds of the fitted sample: rows a language, characters a passage (cut at white space where there is any), bytes a language.
 SAMPLE_ROWS, PASSAGE, SAMPLE_BYTES = 96, 512, 32_768
+#: Parts of a language's rows that are ranked before the language is.
+SPLIT = 64
 PIECE, SLICE = 1024, 2 << 20
 #: Rounds in which pieces are run again together; chains of pieces that go on changing after that are run one by one.
 ROUNDS = 4
@@ -192,8 +194,11 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
     usable = labelled.filter(F.col(lang).isNotNull() & (F.octet_length(text) > 0)).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit("sample"), F.col(doc_id), F.col(text)).alias("h")
     )
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = usable.select("lang", "h").distinct().withColumn("n", place).filter(F.col("n") <= SAMPLE_ROWS).select("lang", "h").collect()
+    chosen = usable.select("lang", "h").distinct()
+    for keys in (["lang", F.pmod("h", F.lit(SPLIT))], ["lang"]):  # the first in each part of a language, then the first of those
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
+        chosen = chosen.withColumn("n", place).filter(F.col("n") <= SAMPLE_ROWS).select("lang", "h")
+    chosen = chosen.collect()
     if not chosen:
         return []
     picked = spark.createDataFrame(chosen, "lang string, h bigint")  # fewer bytes than the sample itself
