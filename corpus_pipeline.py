@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import decontamination, language_id, mixing, ngram_join, sharding
-from quillon.llm._common import written
+from quillon.llm._common import small_batches, written
 
 SHARDS = 16
 
@@ -19,6 +19,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     where no row has a language, all texts with a letter stay; an empty table stays empty; all columns pass through, and
     those made on the way begin with `_q_`.
     """
+    small_batches(spark)
     samples = language_id.learn(docs)
     if not samples:  # every document would be of no known language
         return docs.filter(F.col("text").rlike(r"\p{L}"))
@@ -45,6 +46,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Null and wordless texts contain none and stay; null ids and repeated rows are judged by their texts alone; null and
     repeated items do no harm; with no items, or no documents, nothing changes; all columns pass through.
     """
+    small_batches(spark)
     return decontamination.without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

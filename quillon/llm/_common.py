@@ -18,6 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A block of text that numpy arrays are made for at once.
 BLOCK_BYTES = 1 << 18
 BLOCK_DOCS = 4095
+#: Rows and bytes that Python gets at once, which bounds the memory beside the heap.
+SMALL_BATCHES = {"maxRecordsPerBatch": 2000, "maxBytesPerBatch": 4 << 20}
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -57,12 +59,19 @@ def _settings(spark: SparkSession, **values: int):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's batches for Python are as small as those of written(): for an application that hands on, not
+    written yet, rows whose columns all pass through Python."""
+    for k, v in SMALL_BATCHES.items():
+        spark.conf.set(f"spark.sql.execution.arrow.{k}", v)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: cuts lineage and outlives executors. Batches for Python are kept small
     meanwhile, which bounds the memory beside the heap."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
-    with _settings(spark, maxRecordsPerBatch=2000, maxBytesPerBatch=4 << 20):
+    with _settings(spark, **SMALL_BATCHES):
         df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._quillon_path = path

@@ -44,14 +44,13 @@ _FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
 
 def fold(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased bytes (A to Z, À to Þ) with one space between words, and new offsets."""
-    high = np.flatnonzero(data[1:] <= 0x9E) + 1
-    high = high[(data[high] >= 0x80) & (data[high] != 0x97) & (data[high - 1] == 0xC3)]
+    high = np.flatnonzero(data[:-1] == 0xC3) + 1
+    high = high[(data[high] >= 0x80) & (data[high] <= 0x9E) & (data[high] != 0x97)]
     data = _FOLD[data]
     data[high] += 0x20
     space = data == 0x20
-    keep = np.ones(len(data), bool)
-    keep[1:] = ~(space[1:] & space[:-1])
-    return data[keep], np.concatenate([[0], np.cumsum(keep)])[offs]
+    gone = np.flatnonzero(space[1:] & space[:-1]) + 1
+    return np.delete(data, gone), offs - np.searchsorted(gone, offs)
 
 
 class SuffixAutomaton:

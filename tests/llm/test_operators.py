@@ -358,6 +358,21 @@ def test_pipeline_keeps_texts_where_no_language_was_learned(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.keep_known_language(spark, docs, "").collect()) == [1, 4]
 
 
+def test_pipeline_hands_small_batches_to_python(spark, sf):
+    """A stage returns rows that are not written yet; whoever writes them reads texts in batches of 4 MB at most."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(k, "the ferry leaves the quay " * 1600, "en") for k in range(300)], "doc_id long, text string, lang string").coalesce(1)
+    rows = lambda batches: (pa.RecordBatch.from_pydict({"bytes": [b.nbytes]}) for b in batches)
+    for stage in (corpus_pipeline.keep_known_language, corpus_pipeline.drop_benchmark_leaks):
+        for key in ("maxBytesPerBatch", "maxRecordsPerBatch"):
+            spark.conf.unset(f"spark.sql.execution.arrow.{key}")
+        out = stage(spark, docs, sf)
+        sizes = [r.bytes for r in out.mapInArrow(rows, "bytes long").collect()]
+        assert 2 < len(sizes) and max(sizes) < 5 << 20
+        assert out.count() == 300
+
+
 def test_ids_with_several_vectors(spark):
     """Each vector of an id has its own links; other dimensions in the label and a null id are apart."""
     rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [1.0, 0.02], 0), (None, [1.0, 0.0], 0), (4, [1.0, 0.0, 0.0], 0), (5, [0.01, 1.0], 0)]
