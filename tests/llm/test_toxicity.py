@@ -111,3 +111,39 @@ def test_held_out_labels_do_not_matter(spark, table):
     docs, labels = table
     turned = labels.withColumn("toxic", F.when(tx.folds("doc_id"), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert sorted(map(tuple, tx.score(docs, labels).collect()), key=repr) == sorted(map(tuple, tx.score(docs, turned).collect()), key=repr)
+
+
+def test_words_outside_the_lexicon_are_learned(spark):
+    """Beginnings that the training labels bear out are found in held-out texts; near copies of one text teach nothing."""
+    rng = np.random.default_rng(5)
+    parts = ["lo", "ma", "ten", "ri", "sou", "vel", "ka", "du", "pre", "no"]
+    word = lambda: "".join(rng.choice(parts, 3))
+    plain = lambda n=120: [word() for _ in range(n)]
+    rows = []
+    for k in range(600):
+        words = plain()
+        if k % 5 == 0:
+            for at in rng.choice(120, 5, replace=False):
+                words[at] = "Zarqu" + word()
+        rows.append((k, " ".join(words)))
+    copied = plain()
+    for at in (3, 40, 80):
+        copied[at] = "brimbo"
+    rows += [(k, " ".join([*copied, str(k)])) for k in range(1000, 1060)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 5 == 0 or k >= 1000)) for k, _ in rows], "doc_id long, toxic int")
+    given = docs.join(labels, "doc_id").select("text", F.col("toxic").alias("given"))
+    assert [b[:4] for b in tx.learn(given)] == ["zarq"]
+    got = tx.score(docs, labels).collect()
+    assert all(r.predicted == (r.doc_id % 5 == 0) for r in got if r.doc_id < 1000) and any(r.held_out and r.predicted for r in got)
+
+
+def test_short_ways_agree_with_the_patterns():
+    rng = np.random.default_rng(6)
+    for n in range(3000):
+        text = "".join(rng.choice(list("abEÉ ß1@$!*_-. İℂ"), n % 40))
+        low = text.lower()
+        assert list(tx.masked_words(low)) == [m[0] for m in tx.MASKED.finditer(low)]
+        assert tx.APART.search(low) or not tx.SPACED.search(low)
+        words = tx.LETTERS.findall(text)
+        assert tx.maybe_capitals(text, low, len(words)) or sum(map(str.isupper, words)) * 2 <= len(words)
