@@ -347,18 +347,28 @@ def _newton(x: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 def standing_out(text: str) -> list[str]:
-    """The beginnings that stand out in a text, words of the lexicon left out."""
+    """The longest beginnings that stand out in a text, words of the lexicon left out; what begins one stands out as well.
+    No word has two of them, so a text has STANDS_OUT at most."""
     words = LETTERS.findall(text.lower())
-    count = Counter()
-    for w, n in Counter(words).items():
-        if w not in PLACE:
-            for k in BEGINNINGS[: max(0, len(w) - BEGINNINGS[0] + 1)]:
-                count[w[:k]] += n
-    return sorted(b for b, n in count.items() if n * STANDS_OUT >= len(words))
+    own = [(w, n) for w, n in Counter(words).items() if len(w) >= BEGINNINGS[0] and w not in PLACE]
+    longest: set[str] = set()
+    for k in BEGINNINGS:  # a longer one can stand out only in words whose shorter one does
+        count: dict[str, int] = {}
+        for w, n in own:
+            count[w[:k]] = count.get(w[:k], 0) + n
+        found = {b for b, n in count.items() if n * STANDS_OUT >= len(words)}
+        longest -= {b[:-1] for b in found}
+        longest |= found
+        own = [(w, n) for w, n in own if len(w) > k and w[:k] in found]
+        if not own:
+            break
+    return sorted(longest)
 
 
-def learn(labelled: DataFrame) -> list[str]:
-    """The learned beginnings of a table (text, given), best first; none of them begins another."""
+def learn(texts: DataFrame, labels: DataFrame | None = None) -> list[str]:
+    """The learned beginnings of a table (text, given), best first; none of them begins another. With labels (doc_id, given),
+    of a table (doc_id, text): they are joined to what is left of a text, a hash and its longest beginnings, not to texts."""
+    key = "given" if labels is None else "doc_id"
 
     def begin(batches):
         for batch in batches:
@@ -367,16 +377,20 @@ def learn(labelled: DataFrame) -> list[str]:
                 keys, edges = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], 3)
                 sketch = np.append(keys, 0)[np.minimum(edges[:-1], len(keys))].astype(np.int64)
                 sketch[edges[1:] == edges[:-1]] = -1
-                texts = batch.column(0).slice(i, j - i).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array(sketch), batch.column(1).slice(i, j - i), pa.array([standing_out(t or "") for t in texts], pa.list_(pa.string()))], names=["sketch", "given", "beginnings"])
-
-    told = labelled.mapInArrow(tidy(begin), "sketch bigint, given int, beginnings array<string>")
-    single = written(told.groupBy("sketch").agg(F.max(F.struct("given", "beginnings")).alias("x")).select("x.*"), "toxic-beginnings")
-    texts, toxic = single.agg(F.count("*"), F.coalesce(F.sum("given"), F.lit(0))).first()
-    base = (toxic + 0.5) / (texts + 1)
+                own = batch.column(0).slice(i, j - i).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array(sketch), batch.column(1).slice(i, j - i), pa.array([" ".join(standing_out(t or "")) for t in own], pa.string())], names=["sketch", key, "longest"])
+
+    told = texts.select("text", key).mapInArrow(tidy(begin), f"sketch bigint, {key} {dict(texts.dtypes)[key]}, longest string")
+    if labels is not None:
+        told = told.join(labels, "doc_id")
+    single = written(told.groupBy("sketch").agg(F.max(F.struct("given", "longest")).alias("x")).select("x.*"), "toxic-beginnings")
+    counted, toxic = single.agg(F.count("*"), F.coalesce(F.sum("given"), F.lit(0))).first()
+    base = (toxic + 0.5) / (counted + 1)
     share = F.col("t") / F.col("n")
     clean = F.when(F.col("t") < F.col("n"), (1 - share) * F.log((1 - share) / F.lit(1 - base))).otherwise(0.0)
-    seen = single.select("given", F.explode("beginnings").alias("b")).groupBy("b").agg(F.sum("given").alias("t"), F.count("*").alias("n"))
+    begins = F.transform(F.split("longest", " "), lambda w: F.transform(F.sequence(F.lit(BEGINNINGS[0]), F.length(w)), lambda k: F.substring(w, F.lit(1), k)))
+    each = single.filter("longest != ''").select("given", F.explode(F.array_distinct(F.flatten(begins))).alias("b"))
+    seen = each.groupBy("b").agg(F.sum("given").alias("t"), F.count("*").alias("n"))
     sure = seen.filter(F.col("t") >= LEARN_TEXTS).withColumn("e", F.col("n") * (share * F.log(share / F.lit(base)) + clean))
     sure = sure.filter((2 * F.col("t") > F.col("n")) & (share > base) & (F.col("e") >= LEARN_EVIDENCE))
     out: list[str] = []
@@ -409,7 +423,7 @@ def score(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     kind = dict(rows.dtypes)["doc_id"]
     given = labels.filter(F.col(doc_id).isNotNull() & F.col(toxic).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max((F.col(toxic) > 0).cast("int")).alias("given"))
     # Labels of the held-out fold are dropped before anything is counted.
-    beginnings = learn(rows.filter(~F.col("held_out")).join(given, "doc_id").select("text", "given"))
+    beginnings = learn(rows.filter(~F.col("held_out") & F.col("doc_id").isNotNull()).select("doc_id", "text"), given)
     found = written(rows.mapInArrow(tidy(find), f"doc_id {kind}, held_out boolean, finding binary"), "toxic-findings")
     labelled = found.join(given, "doc_id", "left").select("finding", F.when(F.col("held_out"), -1).otherwise(F.coalesce("given", F.lit(-1))).alias("label"))
     findings = written(labelled.groupBy("finding", "label").agg(F.count("*").alias("n")), "toxic-counts")

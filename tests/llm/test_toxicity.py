@@ -3,6 +3,7 @@
 import re
 import sys
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -147,3 +148,37 @@ def test_short_ways_agree_with_the_patterns():
         assert tx.APART.search(low) or not tx.SPACED.search(low)
         words = tx.LETTERS.findall(text)
         assert tx.maybe_capitals(text, low, len(words)) or sum(map(str.isupper, words)) * 2 <= len(words)
+
+
+def plain_beginnings(text):
+    """All beginnings that stand out, each counted on its own."""
+    words = tx.LETTERS.findall(text.lower())
+    counts = Counter(w[:k] for w in words if w not in tx.PLACE for k in tx.BEGINNINGS if len(w) >= k)
+    return {b for b, n in counts.items() if n * tx.STANDS_OUT >= len(words)}
+
+
+def test_longest_beginnings_stand_for_all(spark, sf):
+    odd = ["", "ab", "idiot", "abc abcd abcde", "İstanbul 𐐷𐐷𐐷𐐷 " * 3, "x" * 100_000, "abcdefghijklm " * 80 + "abcdefgxy " * 2 + "seldom " + CALM * 20]
+    for text in odd + [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]:
+        longest = tx.standing_out(text)
+        assert {b[:k] for b in longest for k in range(tx.BEGINNINGS[0], len(b) + 1)} == plain_beginnings(text)
+        assert len(longest) <= tx.STANDS_OUT and not any(a != b and b.startswith(a) for a in longest for b in longest)
+
+
+def test_no_text_is_shuffled(spark, table, monkeypatch):
+    """Labels too many to be broadcast meet what was found in a text, not the text."""
+    plans = []
+
+    def noted(df, name):
+        plans.append(spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted"))
+        return written(df, name)
+
+    written = tx.written
+    monkeypatch.setattr(tx, "written", noted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert tx.score(*table).count() == 207
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = re.findall(r"\) Exchange\s*\nInput \[\d+\]: \[([^\]]*)\]", "\n".join(plans))
+    assert moved and not [columns for columns in moved if re.search(r"\btext#", columns)]
