@@ -112,16 +112,21 @@ def nearest_rect(points: DataFrame, rects: DataFrame, plate: str, point: str, x:
     rects: (plate, rect, x0, y0, x1, y1).
 
     Both meet in the cells of a grid as wide as the reach: a rectangle stands in every cell it comes within reach of, a point in
-    its own, so each pair that counts meets once and no point meets what is far off.
+    its own, so each pair that counts meets once and no point meets what is far off. Of equal rectangles the largest id stands
+    for all, and equal points are met once.
     """
     cell = lambda v: F.floor(v / reach).cast("long")
-    spread = rects.withColumn("_cx", F.explode(F.sequence(cell(F.col("x0") - reach), cell(F.col("x1") + reach)))).withColumn("_cy", F.explode(F.sequence(cell(F.col("y0") - reach), cell(F.col("y1") + reach))))
-    both = points.withColumns({"_cx": cell(F.col(x)), "_cy": cell(F.col(y))}).join(spread, [plate, "_cx", "_cy"])
+    shapes = rects.groupBy(plate, "x0", "y0", "x1", "y1").agg(F.max("rect").alias("rect"))
+    spread = shapes.withColumn("_cx", F.explode(F.sequence(cell(F.col("x0") - reach), cell(F.col("x1") + reach)))).withColumn("_cy", F.explode(F.sequence(cell(F.col("y0") - reach), cell(F.col("y1") + reach))))
+    places = points.select(plate, x, y).distinct()
+    both = places.withColumns({"_cx": cell(F.col(x)), "_cy": cell(F.col(y))}).join(spread, [plate, "_cx", "_cy"])
     dx = F.greatest(F.col("x0") - F.col(x), F.lit(0.0), F.col(x) - F.col("x1"))
     dy = F.greatest(F.col("y0") - F.col(y), F.lit(0.0), F.col(y) - F.col("y1"))
     d = F.round(F.sqrt(dx * dx + dy * dy), 9)
-    near = both.select(point, "rect", d.alias("distance")).filter(F.col("distance") <= reach)
-    return near.groupBy(point).agg(F.min_by(F.struct("rect", "distance"), F.struct("distance", -F.col("rect"))).alias("b")).select(point, "b.rect", "b.distance")
+    near = both.select(plate, x, y, "rect", d.alias("distance")).filter(F.col("distance") <= reach)
+    best = near.groupBy(plate, x, y).agg(F.min_by(F.struct("rect", "distance"), F.struct("distance", -F.col("rect"))).alias("b"))
+    each = points.select(plate, x, y, point).join(best, [plate, x, y])
+    return each.groupBy(point).agg(F.min_by("b", F.struct("b.distance", -F.col("b.rect"))).alias("b")).select(point, "b.rect", "b.distance")
 
 
 def fitted(width: Column, height: Column, frame_width: float, frame_height: float) -> Column:

@@ -116,3 +116,14 @@ def test_nearest_rect(spark):
         d = [(round(float(np.hypot(max(r[2] - x, 0, x - r[4]), max(r[3] - y, 0, y - r[5]))), 9), -r[1]) for r in rects]
         best = min(d)
         assert got.get(k) == ((-best[1], best[0]) if best[0] <= 8 else None)
+
+
+def test_nearest_rect_meets_copies_once(spark):
+    """Of equal rectangles the largest id counts, of equal points each has its row; copies are folded before they meet."""
+    rects = [("p", k, x, x, x + 2, x + 2) for k, x in enumerate([0.0, 0.0, 5.0, 0.0, 5.0])] + [("q", 9, 0.0, 0.0, 2.0, 2.0)]
+    points = [("p", k, float(k % 3), 1.0) for k in range(12)] + [("p", 20, 4.5, 4.5), ("p", 21, 40.0, 0.0), ("q", 22, 3.0, 2.0), ("p", 23, 3.5, 3.5), ("q", 20, 1.0, 1.0), ("p", 24, None, 1.0)]
+    found = listing.nearest_rect(spark.createDataFrame(points, "plate string, point long, x double, y double"), spark.createDataFrame(rects, "plate string, rect long, x0 double, y0 double, x1 double, y1 double"), "plate", "point", "x", "y", 8.0)
+    got = {r.point: (r.rect, r.distance) for r in found.collect()}
+    assert got == {k: (3, 0.0) for k in range(12)} | {20: (9, 0.0), 22: (9, 1.0), 23: (4, round(1.5 * 2**0.5, 9))}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [plate#") >= 3  # rectangles, places, the best of a place
