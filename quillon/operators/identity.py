@@ -9,14 +9,33 @@ from pyspark.sql import functions as F
 
 
 def two_of_three(gone: DataFrame, new: DataFrame, id_: str, key: list[str]) -> DataFrame:
-    """(gone, new) that agree in all but one part of the key: one equality join for each choice of parts, no cross join."""
-    out = None
-    for parts in combinations(key, len(key) - 1):
-        a = gone.select(F.col(id_).alias("gone"), *parts)
-        b = new.select(F.col(id_).alias("new"), *parts)
-        pairs = a.join(b, list(parts)).select("gone", "new")
-        out = pairs if out is None else out.unionByName(pairs)
-    return out.distinct()
+    """(gone, new) that agree in all but one part of the key at least: one equality join for each choice of parts, no cross join.
+
+    A pair that agrees in every part is taken from the first choice only, so the joins share no pair of rows and no pair is
+    shuffled. Only ids that stand in several rows can give a pair twice; theirs alone are made distinct.
+    """
+    tasks = int(gone.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def side(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        rows = df.select(F.col(id_).alias(name), *key).distinct().withColumn("_n", F.count("*").over(Window.partitionBy(name)))
+        return rows.filter("_n = 1").drop("_n"), rows.filter("_n > 1").drop("_n")
+
+    def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+        out = None
+        for parts in combinations(key, len(key) - 1):
+            (left,) = set(key) - set(parts)
+            # The pairs are the work, not the rows: tasks are not to be put together for having few of those.
+            both = a.repartition(tasks, *parts).join(b.withColumnRenamed(left, "_other"), list(parts))
+            if out is not None:
+                both = both.filter(~F.coalesce(F.col(left) == F.col("_other"), F.lit(False)))
+            out = both.select("gone", "new") if out is None else out.unionByName(both.select("gone", "new"))
+        return out
+
+    (a, a_again), (b, b_again) = side(gone, "gone"), side(new, "new")
+    found = pairs(a, b)
+    if not (a_again.isEmpty() and b_again.isEmpty()):
+        found = found.unionByName(pairs(a_again, b.unionByName(b_again)).unionByName(pairs(a, b_again)).distinct())
+    return found
 
 
 def new_ids(groups: DataFrame, ledger: DataFrame, source: str, group: str, id_: str) -> DataFrame:

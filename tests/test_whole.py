@@ -45,6 +45,21 @@ def test_two_of_three_over_every_part(spark, tmp_path):
     assert got == want and {a for a, _ in got} == {k for k, *_ in parts}
 
 
+def test_two_of_three_shuffles_no_pairs(spark):
+    """Pairs are found once; those of ids in several rows, null ids among them, are made distinct."""
+    from quillon.operators import identity
+
+    rows = [(k, k % 3 or None, k % 4, k % 5) for k in range(60)]
+    again = [(7, 1, 1, 1), (7, 1, 1, 2), (None, 1, 2, 3), (None, 1, 2, 4), (8, 2, 0, 3)]
+    frame = lambda r: spark.createDataFrame(r, "id long, x long, y long, z long")
+    for a, b in ((rows, rows[:40]), (rows + again, rows), (rows, rows + again), (rows + again, again + rows)):
+        want = {(p[0], q[0]) for p in a for q in b if sum(u is not None and u == v for u, v in zip(p[1:], q[1:])) >= 2}
+        got = [tuple(r) for r in identity.two_of_three(frame(a), frame(b), "id", ["x", "y", "z"]).collect()]
+        assert len(got) == len(want) and set(got) == want
+    plan = identity.two_of_three(frame(rows), frame(rows), "id", ["x", "y", "z"])._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Aggregate [gone" in line and "new" in line for line in plan.splitlines())
+
+
 def test_prefix_matches_of_any_length(spark):
     words = ["widget", "widgets", "widget" + "like" * 9, "wodget", "widge", "budget", "smal", "smallest" + "x" * 40, "abc", "abcd", "1234567890" * 7]
     got = sorted((r.query, r.term, r.how) for r in search.fuzzy_terms(spark.createDataFrame([(w,) for w in words], "term string"), ["widget", "smal", "abc", "1234567890" * 6]).collect())
