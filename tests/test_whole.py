@@ -80,3 +80,25 @@ def test_closure_of_a_long_chain(spark):
     ring = spark.createDataFrame([(k, (k + 1) % 7) for k in range(7)] + [(50, 3), (51, 50)], "id long, parent long")
     assert {(r.id, r.ancestor) for r in hierarchy.closure(ring).collect()} >= {(a, b) for a in range(7) for b in range(7)}
     assert sorted(r.node for r in curation.cycles(ring, "id", "parent").collect()) == list(range(7))
+
+
+@pytest.mark.parametrize("step", [1, 2, 8])
+def test_in_place_takes_what_a_walk_over_all_rows_takes(spark, step):
+    """Windows from any moment, hot sessions and buildings, null buildings, scores of 0 and ties, lists that end and go on."""
+    import datetime
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quillon.operators import choices
+
+    rng, day = random.Random(step), datetime.datetime(2024, 1, 1)
+    items = [(k, rng.choice([1, 1, 1, 2, 3, 4, 9, None]), day + datetime.timedelta(hours=rng.randrange(0, 200, 6)), rng.choice(["a", "a", "a", "b", "c", None])) for k in range(250)]
+    vacated = [(u, day + datetime.timedelta(hours=h), day + datetime.timedelta(hours=h + rng.choice([0, 20, 60, 400])), rng.choice(["a", "b", "z", None])) for u, h in ((u, rng.randrange(-30, 260)) for u in range(60))]
+    scores = [(u, k, rng.choice([0.0, 0.5, 1.0]), rng.choice(["x", "y", None])) for u in range(60) for k in rng.sample(range(250), 9)]
+    i, v = spark.createDataFrame(items, "item long, session long, s timestamp_ntz, building string"), spark.createDataFrame(vacated, "u long, from timestamp_ntz, to timestamp_ntz, building string")
+    sc = spark.createDataFrame(scores, "u long, item long, score double, reason string")
+    near = choices.in_window(i, v, "u", "item", "s").join(i.select("item", "session"), "item").filter("session <> u").join(sc, ["u", "item"], "left").fillna(0.0, ["score"])
+    want = choices.chosen(near, "u", "item", "reason", "session", [F.desc("score"), F.desc("here"), F.col("s"), F.col("item")], 3)
+    got = choices.in_place(i, v, sc, F.col("session") != F.col("u"), "u", "item", "reason", "session", "s", 3, step)
+    assert sorted(map(tuple, got.select("u", "item", "r").collect())) == sorted(map(tuple, want.select("u", "item", "r").collect()))
