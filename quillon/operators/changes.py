@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm
 
+#: Tasks that the pairs of a title can be dealt to.
+TITLE_PARTS = 8
 
 def change_kinds(previous: DataFrame, current: DataFrame, key: str, fields: dict[str, str], sets: dict[str, str], removed: str, cancelled: str, was: str) -> DataFrame:
     """(id, kind) of every change, of twelve kinds: added, removed, restored, cancelled, uncancelled and merged, and those of
@@ -40,9 +42,15 @@ def changed_at(previous: DataFrame, current: DataFrame, key: str, digest: Column
 
 
 def loosely_matched(gone: DataFrame, new: DataFrame, id_: str, title: str, start: str, room: str) -> DataFrame:
-    """(gone, new, differs): rows whose titles agree once normalised, and whether they moved in time, in place or in both."""
+    """(gone, new, differs): rows whose titles agree once normalised, and whether they moved in time, in place or in both.
+
+    The pairs of a title grow with the square of its rows and are the result, so the work is dealt out by title and a hash of
+    one side's id: the other side stands in every one of TITLE_PARTS parts, and a title with many rows is no single task.
+    """
+    tasks = int(gone.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     side = lambda df, s: df.select(F.col(id_).alias(s), norm(F.col(title)).alias("_t"), F.col(start).alias(f"_s{s}"), F.col(room).alias(f"_r{s}"))
-    both = side(gone, "gone").join(side(new, "new"), "_t")
+    dealt = side(gone, "gone").withColumn("_part", F.pmod(F.xxhash64("gone"), F.lit(TITLE_PARTS))).repartition(tasks, "_t", "_part")
+    both = dealt.join(side(new, "new").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(TITLE_PARTS - 1).cast("long")))), ["_t", "_part"])
     later, elsewhere = ~F.col("_sgone").eqNullSafe(F.col("_snew")), ~F.col("_rgone").eqNullSafe(F.col("_rnew"))
     return both.select("gone", "new", F.when(later & elsewhere, "both").when(later, "start").when(elsewhere, "room").otherwise("none").alias("differs"))
 

@@ -102,3 +102,17 @@ def test_in_place_takes_what_a_walk_over_all_rows_takes(spark, step):
     want = choices.chosen(near, "u", "item", "reason", "session", [F.desc("score"), F.desc("here"), F.col("s"), F.col("item")], 3)
     got = choices.in_place(i, v, sc, F.col("session") != F.col("u"), "u", "item", "reason", "session", "s", 3, step)
     assert sorted(map(tuple, got.select("u", "item", "r").collect())) == sorted(map(tuple, want.select("u", "item", "r").collect()))
+
+
+def test_loose_matches_of_one_title_are_dealt_to_several_tasks(spark):
+    from quillon.operators import changes
+
+    rows = [(k, "The Show" if k % 9 else None, k % 3 if k % 5 else None, f"r{k % 2}") for k in range(120)]
+    new = [(1000 + k, " the  SHOW!" if k % 7 else "Other", k % 3 if k % 4 else None, f"r{k % 2}") for k in range(50)]
+    frame = lambda r: spark.createDataFrame(r, "id long, title string, start long, room string")
+    found = changes.loosely_matched(frame(rows), frame(new), "id", "title", "start", "room")
+    kinds = {(True, True): "both", (True, False): "start", (False, True): "room", (False, False): "none"}
+    want = sorted((a[0], b[0], kinds[a[2] != b[2], a[3] != b[3]]) for a in rows for b in new if a[1] and b[1] != "Other")
+    assert sorted(map(tuple, found.collect())) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert any("RepartitionByExpression [_t" in line and "_part" in line for line in plan.splitlines())
